@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.functions.text import dup_key
+from tributary.llm.distinct import DistinctRuns
+from tributary.llm.formats import FIELDS, FormatCopies, payload_records
 from tributary.llm.neardup import NearDuplicates
+from tributary.llm.reservoir import WindowReservoir
+from tributary.llm.seen import SeenKeys
 from tributary.session import table
 
 
@@ -21,7 +26,79 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("review_id"), "group_id", "group_size")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups)}
+def _users(spark: SparkSession, folder: str) -> DistinctRuns:
+    """Runs of users per day of event time and business, from which the coarser counts are merged."""
+    by = {"day": F.to_date("event_time"), "business_id": F.col("business_id")}
+    return DistinctRuns.build(table(spark, folder, "bronze_reviews"), by, "user_id")
+
+
+def p2_daily_users(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct users per day, merged from the runs per day and business."""
+    return _users(spark, folder).regroup(None, ["day"]).counts()
+
+
+def p2_business_users(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct users per business over all days."""
+    return _users(spark, folder).regroup(None, ["business_id"]).counts()
+
+
+def p2_source_users(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct users of combinations of businesses: of all those that a source's documents are about."""
+    groups = table(spark, folder, "documents").select("source", "business_id").dropna().distinct()
+    return _users(spark, folder).regroup(groups, ["source"]).counts()
+
+
+def p2_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct users per ten seconds of ingest time beside the old estimates."""
+    start = (F.floor(F.unix_micros(F.col("ingest_time").cast("timestamp")) / 10_000_000) * 10).cast("long")
+    now = DistinctRuns.build(table(spark, folder, "bronze_reviews"), {"w": start}, "user_id", shard_bits=0).counts()
+    now = now.select(F.timestamp_seconds("w").cast("timestamp_ntz").alias("window_start"), "distinct_users")
+    old = table(spark, folder, "fm_distinct_users").select("window_start", F.col("raw_distinct_users_estimate").alias("old_estimate"))
+    both = now.join(old, "window_start", "left")
+    return both.withColumn("old_error", F.round(F.abs(F.col("old_estimate") - F.col("distinct_users")) / F.col("distinct_users"), 6))
+
+
+def p3_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """A hundred reviews of each minute of event time, every one of the minute being equally likely."""
+    drawn = WindowReservoir(table(spark, folder, "bronze_reviews"), "review_id", "event_time", "ingest_time").sample()
+    return drawn.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("id").alias("review_id"))
+
+
+def p3_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Size of each window's sample, which is the lesser of 100 and its distinct reviews."""
+    return p3_samples(spark, folder).groupBy("window_start").agg(F.count(F.lit(1)).alias("n_sampled"), F.count_distinct("review_id").alias("n_distinct"))
+
+
+def _records(spark: SparkSession, folder: str) -> FormatCopies:
+    stored = table(spark, folder, "bronze_reviews").select(*FIELDS)
+    return FormatCopies(stored.union(payload_records(table(spark, folder, "review_messages"))))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of reviews that differ in formatting only."""
+    return _records(spark, folder).pairs()
+
+
+def p5_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per record, with the number of its copies."""
+    return _records(spark, folder).counts().select("review_id", "copies")
+
+
+def _seen(spark: SparkSession, folder: str) -> SeenKeys:
+    return SeenKeys(table(spark, folder, "bronze_reviews"), dup_key(F.col("user_id"), F.col("business_id"), F.col("text")))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Reviews whose key came before."""
+    return _seen(spark, folder).found().select(F.col("id").alias("review_id"))
+
+
+def p7_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Theoretical and audited rates of wrong answers per slice of arrival time."""
+    return _seen(spark, folder).rates()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_daily_users, p2_business_users, p2_source_users, p2_windows, p3_samples, p3_fill, p5_found, p5_copies, p7_found, p7_rates)}
 
 _PAIRS = """
 with sets as (select distinct review_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3))) as t from bronze_reviews where review_id is not null and text is not null),
@@ -34,6 +111,26 @@ met as (select distinct a.review_id as x, b.review_id as y from prefix a join pr
 scored as (select x, y, len(list_intersect(a.t, b.t)) as i, a.n + b.n as s from met join big a on a.review_id = x join big b on b.review_id = y)
 """
 
+_RECORDS = r"""
+with m as (select case when json_valid(payload) and json_type(payload) = 'OBJECT' then payload end as j from review_messages),
+r as (select review_id, user_id, business_id, text from bronze_reviews union all select j->>'review_id', j->>'user_id', j->>'business_id', j->>'text' from m where j is not null),
+c as (select review_id, regexp_replace(lower(user_id), '[^\p{L}\p{N}]+', '', 'g') as u, regexp_replace(lower(business_id), '[^\p{L}\p{N}]+', '', 'g') as b, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') as t
+from r where review_id is not null and user_id is not null and business_id is not null and text is not null),
+k as (select * from c where t <> '')
+"""
+
+_COUNTED = "n as distinct_users, n::double * (n::double - 1) / pow(2.0, 65) as expected_collisions, (n::double - 1) / pow(2.0, 65) as relative_error"
+
 ORACLE = {
     "p1_found": _PAIRS + "select x as review_id_a, y as review_id_b from scored where i / (s - i) >= 0.8",
+    "p2_daily_users": f"select day, {_COUNTED} from (select event_time::date as day, count(distinct user_id) as n from bronze_reviews group by 1)",
+    "p2_business_users": f"select business_id, {_COUNTED} from (select business_id, count(distinct user_id) as n from bronze_reviews group by 1)",
+    "p2_source_users": f"select source, {_COUNTED} from (select source, count(distinct user_id) as n from (select distinct source, business_id from documents where source is not null and business_id is not null) join bronze_reviews using (business_id) group by 1)",
+    "p2_windows": "select w as window_start, n as distinct_users, raw_distinct_users_estimate as old_estimate, round(abs(raw_distinct_users_estimate - n) / n, 6) as old_error from (select time_bucket(interval 10 seconds, ingest_time) as w, count(distinct user_id) as n from bronze_reviews group by 1) left join fm_distinct_users on window_start = w",
+    "p3_fill": "select w as window_start, least(100, count(*)) as n_sampled, least(100, count(*)) as n_distinct from (select review_id, date_trunc('minute', arg_min(event_time, (ingest_time, event_time))) as w from bronze_reviews where review_id is not null and event_time is not null group by review_id) group by 1",
+    "p5_found": _RECORDS + "select distinct x.review_id as review_id_a, y.review_id as review_id_b from k x join k y using (u, b, t) where x.review_id < y.review_id",
+    "p5_copies": _RECORDS + "select min(review_id) as review_id, count(*) as copies from k group by u, b, t",
+    "p7_found": r"""
+with k as (select review_id, row_number() over (partition by user_id || '||' || business_id || '||' || trim(regexp_replace(lower(coalesce(text, '')), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g')) order by ingest_time nulls first, review_id nulls first) as r from bronze_reviews)
+select distinct review_id from k where r > 1 and review_id is not null""",
 }
