@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.text import dup_key
+from tributary.llm.abuse import AbuseScores
+from tributary.llm.bpe import decode_corpus, encode_corpus
 from tributary.llm.distinct import DistinctRuns
 from tributary.llm.formats import FIELDS, FormatCopies, payload_records
+from tributary.llm.leaks import RUN, LeakSearch
 from tributary.llm.neardup import NearDuplicates
 from tributary.llm.reservoir import WindowReservoir
 from tributary.llm.seen import SeenKeys
@@ -98,7 +101,57 @@ def p7_rates(spark: SparkSession, folder: str) -> DataFrame:
     return _seen(spark, folder).rates()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_daily_users, p2_business_users, p2_source_users, p2_windows, p3_samples, p3_fill, p5_found, p5_copies, p7_found, p7_rates)}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's ids by byte_bpe_50k."""
+    return encode_corpus(table(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "ids")
+
+
+def p8_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each document's ids decode to its text again (null texts to the empty one)."""
+    decoded = decode_corpus(p8_ids(spark, folder)).select(F.col("id").alias("doc_id"), F.col("text").alias("decoded"))
+    texts = table(spark, folder, "documents").select("doc_id", "text")
+    return texts.join(decoded, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return LeakSearch(table(spark, folder, "documents"), table(spark, folder, "eval_items")).alignments()
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with at least twelve consecutive words of an item."""
+    return _leaks(spark, folder).where(F.col("run") >= RUN).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each leaked item, with the number of documents that hold a passage of it."""
+    return p9_found(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Alignment scores of all candidates, edited copies included."""
+    return _leaks(spark, folder).select("doc_id", "item_id", F.round("score", 6).alias("score"), "run")
+
+
+def _abuse(spark: SparkSession, folder: str) -> AbuseScores:
+    return AbuseScores(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Abusive, hateful or sexually explicit documents."""
+    return _abuse(spark, folder).scores().where("score >= 0.5").select(F.col("id").alias("doc_id"))
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's score."""
+    return _abuse(spark, folder).scores().select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Each source's rate."""
+    return _abuse(spark, folder).rates()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_daily_users, p2_business_users, p2_source_users, p2_windows, p3_samples, p3_fill, p5_found, p5_copies, p7_found, p7_rates, p8_ids, p8_roundtrip, p9_found, p9_items, p9_scores, p10_found, p10_scores, p10_rates)}
 
 _PAIRS = """
 with sets as (select distinct review_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3))) as t from bronze_reviews where review_id is not null and text is not null),
@@ -121,6 +174,14 @@ k as (select * from c where t <> '')
 
 _COUNTED = "n as distinct_users, n::double * (n::double - 1) / pow(2.0, 65) as expected_collisions, (n::double - 1) / pow(2.0, 65) as relative_error"
 
+_LEAKS = r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items where text is not null),
+dg as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as g from d),
+ig as (select distinct item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as g from i),
+f as (select distinct doc_id, item_id from dg join ig using (g))
+"""
+
 ORACLE = {
     "p1_found": _PAIRS + "select x as review_id_a, y as review_id_b from scored where i / (s - i) >= 0.8",
     "p2_daily_users": f"select day, {_COUNTED} from (select event_time::date as day, count(distinct user_id) as n from bronze_reviews group by 1)",
@@ -133,4 +194,7 @@ ORACLE = {
     "p7_found": r"""
 with k as (select review_id, row_number() over (partition by user_id || '||' || business_id || '||' || trim(regexp_replace(lower(coalesce(text, '')), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g')) order by ingest_time nulls first, review_id nulls first) as r from bronze_reviews)
 select distinct review_id from k where r > 1 and review_id is not null""",
+    "p8_roundtrip": "select doc_id, true as same from documents",
+    "p9_found": _LEAKS + "select doc_id, item_id from f",
+    "p9_items": _LEAKS + "select item_id, count(*) as n_docs from f group by item_id",
 }
