@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -81,8 +82,22 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def bit_sketch(signatures: np.ndarray) -> np.ndarray:
+    """One bit of each of the first 64 registers, as a 64-bit number a set.
+
+    Two sets of similarity J agree in a share of (1 + J) / 2 of the bits.
+    """
+    return np.packbits((_mix(signatures[:, :64]) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64).ravel()
+
+
+def most_differing_bits(threshold: float) -> int:
+    """Bits that pairs of ``threshold`` differ in at most, but for one in ten thousand (3.7 standard deviations)."""
+    off = (1 - threshold) / 2
+    return math.ceil(64 * off + 3.7 * math.sqrt(64 * off * (1 - off)))
+
+
 def sketch_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, least: int, shortest: int, weighted: bool, step: int = 500) -> Iterator[pa.RecordBatch]:
-    """(id, text, h) to (id, h, k1, k2, n, bands); texts with fewer than ``least`` tokens are left out."""
+    """(id, text, h) to (id, h, k1, k2, n, s, bands); texts with fewer than ``least`` tokens are left out."""
     for batch in batches:
         ids, texts, marks = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
         for start in range(0, len(texts), step):
@@ -117,9 +132,10 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, lea
                     pa.array(key[:, 0]),
                     pa.array(key[:, 1]),
                     pa.array(np.diff(offsets).astype(np.int32)),
+                    pa.array(bit_sketch(signed)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * bands), pa.array(hashes.ravel())),
                 ],
-                names=["id", "h", "k1", "k2", "n", "bands"],
+                names=["id", "h", "k1", "k2", "n", "s", "bands"],
             )
 
 
@@ -142,7 +158,8 @@ class NearDuplicates:
 
     Exact copies (equal token sets) are one class from the first shuffle on, with map-side
     combining, so a text copied a million times costs one row in the search. Bands of
-    classes meet by their hash, hot ones in blocks (blocks.py); candidates are verified by
+    classes meet by their hash, hot ones in blocks (blocks.py). Pairs that meet are
+    compared by size and by 64 bits of their signatures; those that pass are verified by
     the exact similarity of their token sets.
     """
 
@@ -152,7 +169,7 @@ class NearDuplicates:
         self.source = df.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").withColumn("h", F.xxhash64("text"))
         id_type = self.source.schema["id"].dataType.simpleString()
         sketch = lambda it: sketch_batches(it, bands, rows, least, shortest, weighted)
-        sketched = spread(self.source).mapInArrow(sketch, f"id {id_type}, h long, k1 long, k2 long, n int, bands array<long>")
+        sketched = spread(self.source).mapInArrow(sketch, f"id {id_type}, h long, k1 long, k2 long, n int, s long, bands array<long>")
         #: A row for each row that takes part; (k1, k2) is its class, and equal classes have equal bands.
         self.sketched = written(sketched, "sketch")
 
@@ -163,9 +180,10 @@ class NearDuplicates:
     def class_links(self) -> DataFrame:
         """(a1, a2, b1, b2, similarity): similar classes of different token sets, each pair once."""
         kept = self.threshold
-        banded = self.sketched.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "k1", "n")
-        met = block_pairs(banded, ["band"], "k1", ["n"])
-        near = met.where(F.least("n_a", "n_b") >= F.lit(kept) * F.greatest("n_a", "n_b"))
+        banded = self.sketched.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "k1", "n", "s")
+        met = block_pairs(banded, ["band"], "k1", ["n", "s"])
+        sized = F.least("n_a", "n_b") >= F.lit(kept) * F.greatest("n_a", "n_b")
+        near = met.where(sized & (F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) <= most_differing_bits(kept)))
         candidates = written(near.select("k1_a", "k1_b").distinct(), "candidates")
         ends = candidates.select(F.explode(F.array("k1_a", "k1_b")).alias("k1")).distinct()
         reps = self.sketched.groupBy("k1", "k2").agg(F.min(F.struct("id", "h")).alias("rep"))
