@@ -392,9 +392,9 @@ def perf_rollup(spark, folder):
     return _rollup(spark, folder).withColumns({c: F.round(c, 6) for c in _ROLLED})
 
 
-@query(_BATCHES + f", f as (select min(least({', '.join(_LATENCIES)})) as f from u) select window_start, {', '.join(f'round({c} - f, 6) as {c}' for c in _LATENCIES)} from u, f")
+@query(_BATCHES + f", f as (select min(least({', '.join(_LATENCIES)})) as f from u) select window_start, {', '.join(f'round({c} - f, 9) as {c}' for c in _LATENCIES)} from u, f")
 def latency_delta(spark, folder):
-    return reports.latency_deltas(_rollup(spark, folder).select("window_start", *_LATENCIES), _LATENCIES).withColumns({c: F.round(c, 6) for c in _LATENCIES})
+    return reports.latency_deltas(_rollup(spark, folder).select("window_start", *_LATENCIES), _LATENCIES).withColumns({c: F.round(c, 9) for c in _LATENCIES})
 
 
 @query("select event_type, arg_max(value, (ts, value, event_id)) as value, max(ts) as ts from events group by 1")
