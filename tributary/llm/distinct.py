@@ -13,10 +13,21 @@ from tributary.session import ship
 
 #: Hashes in one run at most.
 RUN = 65_536
+#: Runs up to this length are coded without arrays, whose overhead would exceed the work.
+FEW = 12
 
 
 def encode(sorted_hashes: np.ndarray) -> bytes:
     """Strictly rising unsigned 64-bit values as LEB128 of the first and then of the gaps."""
+    if len(sorted_hashes) <= FEW:
+        short, before = bytearray(), 0
+        for value in sorted_hashes.tolist():
+            gap, before = value - before, value
+            while gap >= 0x80:
+                short.append(gap & 0x7F | 0x80)
+                gap >>= 7
+            short.append(gap)
+        return bytes(short)
     gaps = np.diff(sorted_hashes, prepend=np.uint64(0)).astype(np.uint64)
     length = np.ones(len(gaps), dtype=np.int64)
     for k in range(1, 10):
@@ -35,6 +46,15 @@ def encode(sorted_hashes: np.ndarray) -> bytes:
 
 def decode(blob: bytes) -> np.ndarray:
     """The values that ``encode`` was given."""
+    if len(blob) <= 10 * FEW:
+        values, total, gap, place = [], 0, 0, 0
+        for byte in blob:
+            gap |= (byte & 0x7F) << place
+            place += 7
+            if byte < 0x80:
+                total, gap, place = total + gap, 0, 0
+                values.append(total)
+        return np.array(values, dtype=np.uint64)
     data = np.frombuffer(blob, dtype=np.uint8)
     if not len(data):
         return np.empty(0, dtype=np.uint64)
@@ -56,8 +76,8 @@ def union(runs: list[np.ndarray]) -> np.ndarray:
     return merged[np.concatenate([[True], merged[1:] != merged[:-1]])]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list[pa.Scalar], pa.RecordBatch, bool]]:
-    """Slices of equal ``names`` of sorted batches, and whether each continues the slice before."""
+def _pieces(batches: Iterator[pa.RecordBatch], names: list[str], carry: list[str]) -> Iterator[tuple[tuple, list, bool]]:
+    """(key, values of the columns of ``carry``) of each stretch of equal ``names`` in sorted batches, and whether it continues the one before."""
     before = None
     for batch in batches:
         if not batch.num_rows:
@@ -67,9 +87,12 @@ def _pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tup
             ids = batch.column(n).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
             codes |= ids[1:] != ids[:-1]
         cuts = [0, *(np.flatnonzero(codes) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            key = [batch.column(n)[a].as_py() for n in names]
-            yield key, batch.slice(a, b - a), key == before
+        starts = pa.array(cuts[:-1], type=pa.int64())
+        keys = zip(*[batch.column(n).take(starts).to_pylist() for n in names])
+        rest = [batch.column(c) for c in carry]
+        rest = [c.to_numpy() if pa.types.is_int64(c.type) else c.to_pylist() for c in rest]
+        for key, a, b in zip(keys, cuts, cuts[1:]):
+            yield key, [c[a:b] for c in rest], key == before
             before = key
 
 
@@ -92,15 +115,15 @@ def _builder(by: list[str], schema: pa.Schema, merge: bool):
         def flush(values: np.ndarray) -> None:
             for s in range(0, len(values), RUN):
                 part = values[s : s + RUN]
-                rows.append((*key, part[:1].view(np.int64)[0] ^ np.int64(-(2**63)), len(part), encode(part)))
+                rows.append((*key, int(part[0]) - 2**63, len(part), encode(part)))
 
-        for k, piece, same in _pieces(batches, names):
+        for k, piece, same in _pieces(batches, names, ["first", "run"] if merge else ["h"]):
             if not same and open_:
                 flush(union(open_))
                 open_ = []
             key = k
             if merge:
-                for first, blob in zip(piece.column("first").to_pylist(), piece.column("run").to_pylist()):
+                for first, blob in zip(piece[0].tolist(), piece[1]):
                     if sum(map(len, open_)) >= 4 * RUN:
                         values, edge = union(open_), np.uint64(first + 2**63)
                         cut = int(np.searchsorted(values, edge))
@@ -108,7 +131,7 @@ def _builder(by: list[str], schema: pa.Schema, merge: bool):
                         open_ = [values[cut:]] if cut < len(values) else []
                     open_.append(decode(blob))
             else:
-                open_.append((piece.column("h").to_numpy() ^ np.int64(-(2**63))).view(np.uint64))
+                open_.append((piece[0] ^ np.int64(-(2**63))).view(np.uint64))
                 while sum(map(len, open_)) >= 2 * RUN:
                     values = np.concatenate(open_)
                     flush(values[:RUN])
