@@ -21,6 +21,9 @@ TOKEN = re.compile("[a-z0-9]+")
 #: Signature of BANDS x ROWS registers: at a similarity of 0.8 a pair meets in some band with
 #: probability 1 - (1 - 0.8^7)^20 = 0.991, at 0.85 with 0.9994, at 0.25 with 0.0012.
 BANDS, ROWS, SEED = 20, 7, 20160101
+#: Bits of the hash of a band, and of the first part of a class's key. Chance meetings are compared and dropped
+#: like any others; among a billion classes they are half a million a band.
+HASH_BITS = 40
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,12 +77,12 @@ def prob_minhash(elements: np.ndarray, offsets: np.ndarray, registers: int, weig
 
 
 def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit hash per band of ``rows`` registers, different for different bands."""
+    """One hash of HASH_BITS per band of ``rows`` registers, different for different bands."""
     with np.errstate(over="ignore"):
         out = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * _GOLDEN + np.zeros((len(signatures), 1), dtype=np.uint64)
         for r in range(rows):
             out = _mix(out ^ signatures[:, r : bands * rows : rows]) + _GOLDEN
-    return out
+    return out & np.uint64((1 << HASH_BITS) - 1)
 
 
 def bit_sketch(signatures: np.ndarray) -> np.ndarray:
@@ -129,7 +132,7 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, lea
                 [
                     ids.take(pa.array(kept)),
                     marks.take(pa.array(kept)),
-                    pa.array(key[:, 0]),
+                    pa.array(key[:, 0] & ((1 << HASH_BITS) - 1)),
                     pa.array(key[:, 1]),
                     pa.array(np.diff(offsets).astype(np.int32)),
                     pa.array(bit_sketch(signed)),
