@@ -63,10 +63,11 @@ class IdIndex:
     batch is deduplicated within itself first, with map-side combining, so one identifier
     in a third of all rows reaches the index as one row; then each prefix is searched in
     its own task. ``2 ** prefix_bits`` prefixes bound what a task holds; set it so that
-    the index has some ten million identifiers per prefix at most. After ``merge_after``
-    runs they are merged to one.
+    the index has some ten million identifiers per prefix at most. From ``merge_after``
+    runs on they are merged to one, all but the newest.
 
-    A batch under the same ``batch_id`` replaces what an earlier attempt wrote. Null
+    The newest batch may be processed again under its ``batch_id``: its own run is neither searched
+    nor merged yet, and is replaced. Null
     identifiers can't be told apart: they aren't indexed and count as no copies. Empty
     batches add an empty run.
     """
@@ -84,16 +85,17 @@ class IdIndex:
         local = batch.select(F.col(id).cast("string").alias("id")).where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
         probes = local.select("id", F.shiftrightunsigned(h, 64 - self.bits).cast("int").alias("prefix"), h.alias("h"), "copies")
         out = "id string, prefix int, h long, copies long, known boolean"
-        if self.runs:
-            probed = probes.groupBy("prefix").cogroup(self.spark.read.schema(self.SCHEMA).parquet(*self.runs).groupBy("prefix")).applyInPandas(_probe, out)
+        target = f"{self.path}/run-{batch_id}"
+        before = [r for r in self.runs if r != target]
+        if before:
+            probed = probes.groupBy("prefix").cogroup(self.spark.read.schema(self.SCHEMA).parquet(*before).groupBy("prefix")).applyInPandas(_probe, out)
         else:
             probed = probes.withColumn("known", F.lit(False))
         result = written(probed, "probed")
-        target = f"{self.path}/run-{batch_id}"
         self._store(result.where("not known").select("prefix", "h", "id"), target)
-        self.runs = [r for r in self.runs if r != target] + [target]
-        if len(self.runs) > self.merge_after:
-            self.merge(f"{batch_id}")
+        if len(before) >= self.merge_after:
+            before = [self._merged(before, f"{batch_id}")]
+        self.runs = [*before, target]
         return result.select("id", "copies", "known")
 
     def _store(self, rows: DataFrame, target: str) -> None:
@@ -101,13 +103,13 @@ class IdIndex:
         ordered = rows.repartition(parts, "prefix").sortWithinPartitions("prefix", "h")
         ordered.mapInPandas(_runs, self.SCHEMA).write.mode("overwrite").parquet(target)
 
-    def merge(self, name: str) -> None:
-        """Merge all runs to one; the old ones stay as they are for readers that have them."""
-        runs = self.spark.read.schema(self.SCHEMA).parquet(*self.runs)
+    def _merged(self, parts: list[str], name: str) -> str:
+        """One run of several; the old ones stay as they are for readers that have them."""
+        runs = self.spark.read.schema(self.SCHEMA).parquet(*parts)
         rows = runs.select("prefix", F.explode("ids").alias("id")).select("prefix", F.xxhash64("id").alias("h"), "id")
         target = f"{self.path}/merged-{name}"
         self._store(rows, target)
-        self.runs = [target]
+        return target
 
 
 def arrival_slices(df: DataFrame, time: str, count: int) -> list[DataFrame]:

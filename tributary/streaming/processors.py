@@ -14,23 +14,34 @@ from tributary.operators.dgim import Buckets
 
 
 class _SeenFlags(StatefulProcessor):
-    """Per bucket of keys a map of the keys met, each forgotten after ``ttl_ms``."""
+    """Per bucket a map from the keys met to the arrival time of their last row.
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    A key is forgotten once the arrival times have moved on by ``reset`` microseconds; entries that old are
+    removed whenever the clock has moved by that much.
+    """
+
+    def __init__(self, reset: int):
+        self.reset = reset
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "k string", "one int", self.ttl_ms)
+        self.seen = handle.getMapState("seen", "k string", "at long")
+        self.pruned = handle.getValueState("pruned", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for frame in rows:
-            frame = frame.sort_values(["ingest_time", "review_id"], na_position="first", kind="stable")
-            flags = []
-            for k in frame["dup_key"]:
-                flags.append(self.seen.containsKey((k,)))
-                if not flags[-1]:
-                    self.seen.updateValue((k,), (1,))
-            yield pd.DataFrame({"dup_key": frame["dup_key"].to_numpy(), "review_id": frame["review_id"].to_numpy(), "event_time": frame["event_time"].to_numpy(), "is_dup": flags})
+        frame = pd.concat(list(rows)).sort_values(["arrived", "review_id"], na_position="first", kind="stable")
+        flags = []
+        for k, at in zip(frame["dup_key"], frame["arrived"].tolist()):
+            before = self.seen.getValue((k,))[0] if self.seen.containsKey((k,)) else None
+            flags.append(before is not None and at - before <= self.reset)
+            self.seen.updateValue((k,), (at,))
+        now = int(frame["arrived"].iloc[-1])
+        last = self.pruned.get()[0] if self.pruned.exists() else now
+        if now - last > self.reset:
+            for k in [k[0] for k, at in self.seen.iterator() if now - at[0] > self.reset]:
+                self.seen.removeKey((k,))
+            last = now
+        self.pruned.update((last,))
+        yield pd.DataFrame({"dup_key": frame["dup_key"].to_numpy(), "review_id": frame["review_id"].to_numpy(), "event_time": frame["event_time"].to_numpy(), "is_dup": flags})
 
     def close(self) -> None:
         pass
@@ -39,11 +50,13 @@ class _SeenFlags(StatefulProcessor):
 def seen_flags(reviews: DataFrame, reset_minutes: int = 60) -> DataFrame:
     """(dup_key, review_id, event_time, is_dup) of a stream: whether a row's key came within ``reset_minutes`` before it.
 
-    Keys are state entries of 4096 buckets, so they spread over all tasks; a key that nobody bears any more expires.
+    Keys are state entries of 1024 buckets, so they spread over all tasks, and each expires by itself. Rows without
+    an arrival time count as the earliest.
     """
-    keyed = reviews.select("review_id", "event_time", "ingest_time", dup_key(F.col("user_id"), F.col("business_id"), F.col("text")).alias("dup_key"))
-    bucketed = keyed.withColumn("bucket", F.pmod(F.xxhash64("dup_key"), F.lit(4096)))
-    return bucketed.groupBy("bucket").transformWithStateInPandas(_SeenFlags(reset_minutes * 60_000), "dup_key string, review_id string, event_time timestamp, is_dup boolean", "Append", "ProcessingTime")
+    arrived = F.coalesce(F.unix_micros("ingest_time"), F.lit(0)).alias("arrived")
+    keyed = reviews.select("review_id", "event_time", arrived, dup_key(F.col("user_id"), F.col("business_id"), F.col("text")).alias("dup_key"))
+    bucketed = keyed.withColumn("bucket", F.pmod(F.xxhash64("dup_key"), F.lit(1024)))
+    return bucketed.groupBy("bucket").transformWithStateInPandas(_SeenFlags(reset_minutes * 60_000_000), "dup_key string, review_id string, event_time timestamp, is_dup boolean", "Append", "None")
 
 
 class _BottomK(StatefulProcessor):
