@@ -161,9 +161,10 @@ class Transducer:
         if state not in self.ends:
             _, pending, lasts = self.states[state]
             self.ends[state] = self._path(lasts, len(pending))
+        out += self.ends[state]
         if len(self.states) > self.memo:
             self.forget()
-        return (*out, *self.ends[state]) if len(data) != 0 else ()
+        return tuple(out)
 
     def forget(self) -> None:
         """Drop all states; they are made again as needed."""
