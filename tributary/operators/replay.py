@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.grouped import sorted_groups
-from tributary.session import ship
+from tributary.session import semi, ship, written
 
 
 class OrderedState:
@@ -51,19 +51,36 @@ class OrderedState:
         return out
 
 
-def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "day", "period", "version", "n", "total", "rated", "running_n", "running_total", "running_rated"]
-    for (key, day), g in sorted_groups(batches, ["key", "day"]):
-        state, rows, i = OrderedState(), [], 0
-        while i < len(g["piece"]):
-            j = i
-            while j < len(g["piece"]) and g["piece"][j] == g["piece"][i]:
-                j += 1
-            for out in state.apply(list(zip(g["minute"][i:j], g["n"][i:j], g["total"][i:j], g["rated"][i:j]))):
-                rows.append((key, day, out[0], g["piece"][i], *out[1:]))
-            i = j
-        kinds = [pa.string(), pa.date32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=names)
+NAMES = ["key", "day", "minute", "version", "n", "total", "rated", "running_n", "running_total", "running_rated"]
+KINDS = [pa.string(), pa.date32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+SCHEMA = "key string, day date, minute int, version long, n long, total double, rated long, running_n long, running_total double, running_rated long"
+
+
+def _replay(lateness: int):
+    """Deltas in order of arrival to outputs, and to the deltas that were left out (``running_n`` null).
+
+    Arrivals come in steps of whole hours, rounded up, and ``lateness`` is in hours; an hour's
+    state is closed once an arrival is beyond the limit.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, day), g in sorted_groups(batches, ["key", "day"]):
+            state, rows, i = OrderedState(), [], 0
+            while i < len(g["piece"]):
+                j, piece = i, g["piece"][i]
+                while j < len(g["piece"]) and g["piece"][j] == piece:
+                    j += 1
+                deltas = list(zip(g["minute"][i:j], g["n"][i:j], g["total"][i:j], g["rated"][i:j]))
+                # hours from the start of the day to the arrival
+                since = (piece - g["start"][i]) // 3600
+                open_ = [d for d in deltas if since <= d[0] // 60 + 1 + lateness]
+                rows += [(key, day, d[0], piece, d[1], d[2], d[3], None, None, None) for d in deltas if since > d[0] // 60 + 1 + lateness]
+                if open_:
+                    rows += [(key, day, out[0] * 60, piece, *out[1:]) for out in state.apply(open_)]
+                i = j
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), KINDS)], names=NAMES)
+
+    return work
 
 
 class EventTimeReplay:
@@ -72,7 +89,7 @@ class EventTimeReplay:
     A row counts if it arrives at most ``lateness_hours`` after the end of the hour of its
     event time; other rows are left out and come out of ``rejected``. Rows that repeat an
     identifier count once, as the first to arrive (of equal times, the least event time); rows with
-    a null identifier count each by itself. Rows with a null event or arrival time can't be
+    a null identifier count each by itself. Rows with a null event or arrival time, or a null key, can't be
     placed and are in neither. ``value`` may be null: such rows count but not in averages.
 
     Rows are summed per key, event minute and arrival hour before the shuffle, so what a
@@ -83,30 +100,37 @@ class EventTimeReplay:
     def __init__(self, df: DataFrame, key: str | None = None, id: str = "review_id", event: str = "event_time", arrival: str = "ingest_time", value: str = "stars", lateness_hours: int = 24):
         ship(df.sparkSession)
         key_column = F.lit("all") if key is None else F.col(key).cast("string")
-        rows = df.select(F.col(id).alias("id"), F.col(arrival).cast("timestamp").alias("arrival"), F.col(event).cast("timestamp").alias("event"), F.col(value).cast("double").alias("value"), key_column.alias("key")).where("event is not null and arrival is not null")
+        rows = df.select(F.col(id).alias("id"), F.col(arrival).cast("timestamp").alias("arrival"), F.col(event).cast("timestamp").alias("event"), F.col(value).cast("double").alias("value"), key_column.alias("key")).where("event is not null and arrival is not null and key is not null")
         whole = F.min(F.struct("arrival", "event", "value", "key")).alias("r")
         first = rows.where("id is not null").groupBy("id").agg(whole).select("id", "r.*")
-        self.rows = first.unionByName(rows.where("id is null")).withColumn("hour", F.date_trunc("hour", "event"))
-        self.closed = F.col("arrival") > F.col("hour") + F.expr(f"interval {lateness_hours + 1} hours")
+        hour = 3_600_000_000
+        piece = F.ceil(F.unix_micros("arrival") / hour).cast("long") * 3600
+        minute = F.hour("event") * 60 + F.minute("event")
+        placed = {"day": F.to_date("event"), "minute": minute, "piece": piece}
+        self.rows, self.lateness = first.unionByName(rows.where("id is null")).withColumns(placed), lateness_hours
+
+    def _replayed(self) -> DataFrame:
+        sums = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"), F.count("value").alias("rated")]
+        deltas = self.rows.groupBy("key", "day", "piece", "minute").agg(*sums).withColumn("start", F.unix_seconds(F.col("day").cast("timestamp")))
+        ordered = deltas.repartition("key", "day").sortWithinPartitions("key", "day", "piece", "minute")
+        return ordered.mapInArrow(_replay(self.lateness), SCHEMA)
 
     def rejected(self) -> DataFrame:
-        """(id, key, event_time, ingest_time, hours_late): rows beyond the lateness limit."""
-        late = (F.unix_micros("arrival") - F.unix_micros("hour")) / 3.6e9 - 1
-        return self.rows.where(self.closed).select("id", "key", F.col("event").alias("event_time"), F.col("arrival").alias("ingest_time"), late.alias("hours_late"))
+        """(id, key, event_time, ingest_time, hours_late): the rows of the deltas that the replay left out."""
+        out = written(self._replayed().where("running_n is null").select("key", "day", "minute", F.col("version").alias("piece")), "rejected")
+        on = ["key", "day", "minute", "piece"]
+        late = (F.unix_micros("arrival") - F.unix_micros(F.date_trunc("hour", "event"))) / 3.6e9 - 1
+        rows = semi(self.rows, out, on).join(out, on, "left_semi")
+        return rows.select("id", "key", F.col("event").alias("event_time"), F.col("arrival").alias("ingest_time"), late.alias("hours_late"))
 
     def versions(self) -> DataFrame:
-        """(key, hour, version, n_reviews, avg_stars, day_reviews, day_avg_stars): each output as of each arrival hour that changed it.
+        """(key, hour, version, n_reviews, avg_stars, day_reviews, day_avg_stars): each output as of the end of each arrival hour that changed it.
 
         ``day_`` columns run from the start of the day to the end of the hour, so a late row
         replaces the outputs of its own hour and of all later hours of the day.
         """
-        day, minute = F.to_date("event").alias("day"), (F.hour("event") * 60 + F.minute("event")).alias("minute")
-        piece = F.unix_seconds(F.date_trunc("hour", "arrival")).alias("piece")
-        sums = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"), F.count("value").alias("rated")]
-        deltas = self.rows.where(~self.closed).groupBy("key", day, piece, minute).agg(*sums)
-        ordered = deltas.repartition("key", "day").sortWithinPartitions("key", "day", "piece", "minute")
-        out = ordered.mapInArrow(_replay, "key string, day date, period int, version long, n long, total double, rated long, running_n long, running_total double, running_rated long")
-        hour = F.timestamp_seconds(F.unix_seconds(F.col("day").cast("timestamp")) + F.col("period") * 3600).alias("hour")
+        out = self._replayed().where("running_n is not null")
+        hour = F.timestamp_seconds(F.unix_seconds(F.col("day").cast("timestamp")) + F.col("minute") * 60).alias("hour")
         average = lambda s, c: F.try_divide(F.col(s), F.col(c))
         return out.select("key", hour, F.timestamp_seconds("version").alias("version"), F.col("n").alias("n_reviews"), average("total", "rated").alias("avg_stars"), F.col("running_n").alias("day_reviews"), average("running_total", "running_rated").alias("day_avg_stars"))
 
