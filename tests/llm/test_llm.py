@@ -113,7 +113,7 @@ def test_runs_merge(spark, make_reviews):
         assert np.array_equal(decode(encode(v)), v)
     parts = [np.unique(rng.integers(0, 1000, 300, dtype=np.uint64)) for _ in range(5)]
     assert np.array_equal(union(parts), np.unique(np.concatenate(parts)))
-    rows = [{"user_id": f"u{i % 300}", "business_id": None if i % 7 == 0 else f"b{i % 3}"} for i in range(3000)] + [{"user_id": None}]
+    rows = [{"user_id": f"u{i % 300}", "business_id": None if i % 7 == 0 else f"b{i % 3}"} for i in range(3000)] + [{"user_id": None, "business_id": "b0"}]
     df = make_reviews(rows)
     runs = DistinctRuns.build(df, {"business_id": F.col("business_id")}, "user_id")
     want = {b: len({r["user_id"] for r in rows if r["business_id"] == b and r["user_id"]}) for b in {r["business_id"] for r in rows[:-1]}}
