@@ -17,7 +17,7 @@ from tributary.llm.bpe import TOKENIZERS, Transducer, Utf8Stream, decode_corpus,
 from tributary.llm.components import components
 from tributary.llm.distinct import DistinctRuns, decode, encode, union
 from tributary.llm.formats import FIELDS, FormatCopies, payload_records
-from tributary.llm.leaks import LeakSearch, align
+from tributary.llm.leaks import LeakSearch, align, align_all
 from tributary.llm.neardup import NearDuplicates, prob_minhash
 from tributary.llm.reservoir import WindowReservoir, draw
 from tributary.llm.seen import GolombSet, SeenKeys, SetStack
@@ -292,6 +292,29 @@ def test_alignment_equals_the_plain_recurrence():
     assert align(np.array([1], dtype=np.uint64), np.array([], dtype=np.uint64)) == (0, 0)
 
 
+def test_many_alignments_equal_single_ones():
+    rng = random.Random(12)
+    for _ in range(60):
+        item = np.array([rng.randrange(9) for _ in range(rng.randrange(1, 30))], dtype=np.uint64)
+        docs = [np.array([rng.randrange(12) for _ in range(rng.choice((0, 3, 40)))], dtype=np.uint64) for _ in range(rng.randrange(1, 20))]
+        assert list(zip(*align_all(item, docs))) == [align(item, d) for d in docs]
+    long = np.arange(40_000, dtype=np.uint64)
+    assert align_all(long[:20], [long, long[10:], long[:0]]) == ([40, 20, 0], [20, 10, 0])
+
+
+def test_edited_copies_are_scored(spark):
+    """Every seventh word changed, so that no twelve words in a row are left, also beside exact copies."""
+    item = [f"w{i}" for i in range(60)]
+    edited = ["x" + w if i % 7 == 3 else w for i, w in enumerate(item)]
+    texts = [item, item, edited, item[20:26], item[20:24], [f"v{i}" for i in range(60)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for sent in (1_000_000, 5):
+        got = {r.doc_id: (round(r.score, 6), r.run) for r in LeakSearch(docs, items, sent=sent).alignments(edited=True).collect()}
+        assert got == {0: (1.0, 60), 1: (1.0, 60), 2: (round((2 * 51 - 8) / 120, 6), 6), 3: (0.1, 6)}
+    assert LeakSearch(docs, items.limit(0)).alignments(edited=True).count() == LeakSearch(docs.limit(0), items).alignments(edited=True).count() == 0
+
+
 # --- 10
 
 

@@ -19,6 +19,8 @@ WORD = re.compile(r"[^\W_]+")
 GRAM, RUN = 5, 12
 #: Distinct n-grams of the items that are sent to every executor at most (8 bytes each).
 SENT = 1_000_000
+#: Words of documents that are aligned at once.
+AT_ONCE = 32_768
 
 
 class _Hashes(dict):
@@ -75,6 +77,60 @@ def align(item: np.ndarray, doc: np.ndarray, match: int = 2, mismatch: int = 1,
     return best, longest
 
 
+def align_all(item: np.ndarray, docs: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """What ``align`` gives with its standard costs, for many documents at once.
+
+    The documents lie end to end in one row of the matrix, each behind a column of its own. Cells are kept
+    with a slope added that rises by one a word and by more than any score from document to document, so a
+    running maximum is the gap along the row and never leaves its document. Without a match a row is closed already;
+    with one, a score reaches no further than its own value, so doubling steps up to the row's greatest do.
+    """
+    scores, runs, at = [], [], 0
+    vocabulary, words = np.unique(item, return_inverse=True)
+    while at < len(docs):
+        end, n = at + 1, len(docs[at])
+        while end < len(docs) and n + len(docs[end]) <= AT_ONCE:
+            n += len(docs[end])
+            end += 1
+        lengths = np.array([len(d) for d in docs[at:end]])
+        starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        slope = np.arange(n + len(lengths)) + np.repeat(np.arange(len(lengths)) * (2 * len(item) + 1), lengths + 1)
+        slope = slope.astype(np.int32 if slope[-1] + 2 * len(item) < 2**31 else np.int64)
+        column = np.delete(np.arange(len(slope)), starts)
+        whole = np.concatenate(docs[at:end])
+        code = np.minimum(np.searchsorted(vocabulary, whole), len(vocabulary) - 1)
+        same = vocabulary[code] == whole
+        column, code = column[same], code[same]
+        column = column[np.argsort(code, kind="stable")]
+        places = np.split(column, np.cumsum(np.bincount(code, minlength=len(vocabulary)))[:-1])
+        cells, best, longest, run = slope.copy(), np.zeros_like(slope), np.zeros_like(slope), np.zeros_like(slope)
+        below, spare, ran = np.empty_like(slope), np.empty_like(slope), places[0][:0]
+        for word in words:
+            here = places[word]
+            matched, length = cells[here - 1] + 3, run[here - 1] + 1
+            np.subtract(cells, 1, out=below)
+            np.maximum(below[1:], cells[:-1], out=below[1:])
+            np.maximum(below, slope, out=below)
+            run[ran] = 0
+            if len(here):
+                matched = np.maximum(below[here], matched)
+                below[here] = matched
+                matched -= slope[here]
+                run[here] = length
+                best[here] = np.maximum(best[here], matched)
+                longest[here] = np.maximum(longest[here], length)
+                step, reach = 1, int(matched.max())
+                while step < reach:
+                    spare[:step] = below[:step]
+                    np.maximum(below[step:], below[:-step], out=spare[step:])
+                    below, spare, step = spare, below, 2 * step
+            cells, below, ran = below, cells, here
+        scores += np.maximum.reduceat(best, starts).tolist()
+        runs += np.maximum.reduceat(longest, starts).tolist()
+        at = end
+    return scores, runs
+
+
 class LeakSearch:
     """Which documents contain passages of which items, whole or in part.
 
@@ -82,7 +138,9 @@ class LeakSearch:
     n-gram in the fewest documents (counted over all documents; ties by hash) is a seed,
     so any RUN words in a row that a document shares with the item hold one of its seeds: no such leak is missed,
     and phrases that half the corpus has make candidates only where an item has nothing rarer.
-    Documents and items that share a seed are aligned whole.
+    Documents and items that share a seed are aligned whole. An edit can break the seeds of all windows it
+    touches, so copies without RUN words in a row are sure to be aligned only by ``alignments(edited=True)``: there every
+    pair that shares any n-gram is aligned, however many documents have it.
 
     Null and empty texts, texts of fewer than five words and null ids take part in nothing. Items under
     RUN words can have a score but no run of RUN words. Rows that repeat an id count each; their best
@@ -152,22 +210,67 @@ class LeakSearch:
         seeds = chosen.select("item_id", F.col("best.gram").alias("gram")).distinct()
         return written(hits.join(seeds, "gram").select("doc_id", "item_id").distinct(), "leak-candidates")
 
-    def alignments(self) -> DataFrame:
-        """(doc_id, item_id, score, run): of each candidate pair the alignment's share of a perfect score, and the most words in a row."""
-        candidates = self.candidates()
+    def alignments(self, edited: bool = False) -> DataFrame:
+        """(doc_id, item_id, score, run): of each candidate pair the alignment's share of a perfect score, and the most words in a row.
+
+        ``edited``: of each pair that shares GRAM words in a row; without a shuffle of texts where the items hold at most five characters for each n-gram that may be sent.
+        """
+        kinds = f"doc_id {self.kinds[0]}, item_id {self.kinds[1]}, score double, run int"
+        chars = self.items.agg(F.sum(F.length("text"))).first()[0] or 0 if edited else 0
+        if edited and chars <= 5 * self.sent:
+            return self.best(spread(self.docs).mapInArrow(self.scorer(), kinds))
+        if edited:
+            item_grams = self.item_grams()
+            candidates = written(self.hits(item_grams).join(item_grams.select("item_id", "gram").distinct(), "gram").select("doc_id", "item_id").distinct(), "leak-candidates")
+        else:
+            candidates = self.candidates()
         texts = semi(self.docs, candidates, ["doc_id"]).withColumnRenamed("text", "doc_text")
         both = candidates.join(texts, "doc_id").join(self.items.withColumnRenamed("text", "item_text"), "item_id")
 
         def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                scores, runs = [], []
-                for d, t in zip(f["doc_text"], f["item_text"]):
+                for t, group in f.groupby("item_text", sort=False):
                     item = word_hashes(t)
-                    score, run = align(item, word_hashes(d))
-                    scores.append(score / (2.0 * len(item)))
-                    runs.append(run)
-                yield f[["doc_id", "item_id"]].assign(score=scores, run=runs)
+                    scores, runs = align_all(item, [word_hashes(d) for d in group["doc_text"]])
+                    yield group[["doc_id", "item_id"]].assign(score=np.array(scores) / (2.0 * len(item)), run=runs)
 
         spreaded = both.repartition(max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id", "item_id")
-        out = spreaded.mapInPandas(work, f"doc_id {self.kinds[0]}, item_id {self.kinds[1]}, score double, run int")
-        return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("run").alias("run"))
+        return self.best(spreaded.mapInPandas(work, kinds))
+
+    def scorer(self):
+        """Aligns the documents of Arrow batches with all items whose n-grams they share."""
+        kind = self.items.select("item_id").limit(0).toArrow().schema.field(0).type
+        rows = [(r.item_id, word_hashes(r.text)) for r in self.items.collect()]
+        rows = [(i, w) for i, w in rows if len(w) >= GRAM]
+        found = [np.unique(grams(w)) for _, w in rows]
+        every = np.concatenate([*found, np.empty(0, dtype=np.int64)])
+        order = np.argsort(every, kind="stable")
+        own, first = np.unique(every[order], return_index=True)
+        holder = np.repeat(np.arange(len(rows)), [len(g) for g in found])[order]
+        sent = self.spark.sparkContext.broadcast(([w for _, w in rows], pa.array([i for i, _ in rows], kind), own, np.append(first, len(every)), holder))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items, ids, own, first, holder = sent.value
+            for batch in batches if len(own) else ():
+                words, sharing = {}, {}
+                for d, t in enumerate(batch.column(1).to_pylist()):
+                    w = word_hashes(t)
+                    g = grams(w)
+                    if len(g):
+                        at = np.minimum(np.searchsorted(own, g), len(own) - 1)
+                        at = np.unique(at[own[at] == g])
+                        if len(at):
+                            words[d] = w
+                            for i in np.unique(np.concatenate([holder[first[a] : first[a + 1]] for a in at])).tolist():
+                                sharing.setdefault(i, []).append(d)
+                for i, docs in sharing.items():
+                    scores, runs = align_all(items[i], [words[d] for d in docs])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(docs)), ids.take(pa.array([i] * len(docs))), pa.array(np.array(scores) / (2.0 * len(items[i]))), pa.array(runs, pa.int32())], names=["doc_id", "item_id", "score", "run"]
+                    )
+
+        return work
+
+    @staticmethod
+    def best(aligned: DataFrame) -> DataFrame:
+        return aligned.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("run").alias("run"))

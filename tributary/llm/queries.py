@@ -113,8 +113,8 @@ def p8_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return texts.join(decoded, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
 
-def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return LeakSearch(table(spark, folder, "documents"), table(spark, folder, "eval_items")).alignments()
+def _leaks(spark: SparkSession, folder: str, edited: bool = False) -> DataFrame:
+    return LeakSearch(table(spark, folder, "documents"), table(spark, folder, "eval_items")).alignments(edited)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,8 +128,8 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Alignment scores of all candidates, edited copies included."""
-    return _leaks(spark, folder).select("doc_id", "item_id", F.round("score", 6).alias("score"), "run")
+    """Alignment scores of all pairs that share five words in a row, so of edited and partial copies too."""
+    return _leaks(spark, folder, edited=True).select("doc_id", "item_id", F.round("score", 6).alias("score"), "run")
 
 
 def _abuse(spark: SparkSession, folder: str) -> AbuseScores:
