@@ -70,6 +70,11 @@ def test_bloom_has_no_false_negatives(spark, make_reviews):
     assert duplicates.inject_duplicates(df, 0) is df
 
 
+def test_bloom_error_rate_holds_beyond_the_reference_capacity(spark):
+    rows = spark.range(600_000).selectExpr("id::string dup_key", "id at", "id::string review_id", "timestamp_ntz '2020-01-01' window_start", "1l n")
+    assert duplicates.bloom_flags(rows).agg(F.sum("dups")).first()[0] <= 6_000
+
+
 def test_fm_drops_or_keeps_empty_sketches(make_reviews):
     df = make_reviews([{"user_id": f"u{i}", "ingest_time": T + timedelta(minutes=i)} for i in range(80)] + [{"user_id": None}])
     assert distinct.fm_windows(df).count() == 80

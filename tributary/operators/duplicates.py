@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.text import dup_key
+from tributary.session import written
 
 
 def with_key(df: DataFrame, unicode_space: bool = True) -> DataFrame:
@@ -43,27 +44,39 @@ def bloom_size(capacity: int, error_rate: float) -> tuple[int, int]:
     return bits, max(1, round(bits / capacity * math.log(2)))
 
 
-def bloom_positions(key: Column, bits: int, hashes: int) -> Column:
-    """The bits of a key by double hashing of its MD5 (Kirsch, Mitzenmacher 2006)."""
+def bloom_halves(key: Column) -> tuple[Column, Column]:
+    """The halves of a key's MD5 that decide its bits."""
     part = lambda start: F.conv(F.substring(F.md5(key), start, 8), 16, 10).cast("long")
-    return F.array(*[F.pmod(part(1) + F.lit(i) * part(9), F.lit(bits)) for i in range(hashes)])
+    return part(1), part(9)
 
 
-def bloom_flags(rows: DataFrame, capacity: int = 200_000, error_rate: float = 0.01) -> DataFrame:
+def bloom_positions(a: Column, b: Column, bits: int, hashes: int) -> Column:
+    """The bits of a key by double hashing of its halves (Kirsch, Mitzenmacher 2006)."""
+    return F.array(*[F.pmod(a + F.lit(i) * b, F.lit(bits)) for i in range(hashes)])
+
+
+def bloom_flags(rows: DataFrame, capacity: int | None = None, error_rate: float = 0.01) -> DataFrame:
     """Adds ``dups`` as ``exact_flags`` does, but as a Bloom filter read in order of arrival tells it.
 
-    A row is flagged iff all its bits were set by rows before it. The time at which a bit
-    is first set is a grouped minimum over the keys' first rows, so the sequential filter becomes an
-    aggregation and a join. ``capacity`` is per table here; beyond it errors rise as the filter's do.
+    A row is flagged iff all its bits were set by rows before it. The keys are numbered in the order of their
+    first rows; the number at which a bit is first set is a grouped minimum, so the sequential filter becomes an
+    aggregation and a join of numbers. There is no reset: ``capacity`` is per table, by default the counted number of its
+    keys, so that the error rate holds at every size; beyond a given one errors rise as the filter's do. Positions
+    come of 32-bit halves, enough for some 448 million keys at 1 %.
     """
-    bits, hashes = bloom_size(capacity, error_rate)
-    order = F.struct("at", "review_id", "window_start", "dup_key")
-    first = rows.groupBy("dup_key").agg(F.min(order).alias("first"))
-    placed = first.select("dup_key", "first", F.explode(F.array_distinct(bloom_positions(F.col("dup_key"), bits, hashes))).alias("bit"))
-    set_at = placed.groupBy("bit").agg(F.min("first").alias("set_at"))
-    false = placed.join(set_at, "bit").groupBy("dup_key").agg((F.max("set_at") < F.first("first")).alias("false_positive"), F.first("first").alias("first"))
-    own_first = (order == F.col("first")) & ~F.col("false_positive")
-    return rows.join(false, "dup_key").withColumn("dups", F.col("n") - own_first.cast("int")).drop("first", "false_positive")
+    order = F.struct("at", "review_id", "window_start")
+    a, b = bloom_halves(F.col("dup_key"))
+    halved = rows.withColumns({"_a": a, "_b": b})
+    # keys of equal halves are one key to the filter
+    first = halved.groupBy("_a", "_b").agg(F.min(F.struct(order.alias("first"), "dup_key")).alias("f")).orderBy("f")
+    first = written(first.select("_a", "_b", "f.first", F.monotonically_increasing_id().alias("o")), "bloom-keys")
+    bits, hashes = bloom_size(max(1, first.count()) if capacity is None else capacity, error_rate)
+    placed = first.select("o", F.explode(F.array_distinct(bloom_positions(F.col("_a"), F.col("_b"), bits, hashes))).alias("bit"))
+    set_at = placed.groupBy("bit").agg(F.min("o").alias("set_at"))
+    false = placed.join(set_at, "bit").groupBy("o").agg((F.max("set_at") < F.col("o")).alias("false_positive"))
+    marked = first.join(false.where("false_positive"), "o", "left").drop("o")
+    own_first = (order == F.col("first")) & F.col("false_positive").isNull()
+    return halved.join(marked, ["_a", "_b"]).withColumn("dups", F.col("n") - own_first.cast("int")).drop("_a", "_b", "first", "false_positive")
 
 
 def inject_duplicates(df: DataFrame, fraction: float = 0.1, key: str = "review_id", seed: int = 7) -> DataFrame:

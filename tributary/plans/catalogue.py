@@ -180,16 +180,17 @@ f as (select r.*, r.o <> fp.o or fp.fp as dup from r join fp using (dup_key))
 
 @query(_BLOOM + "select window_start, count(*) as total, count(*) filter (dup) as dup_count, round(count(*) filter (dup) / count(*), 6) as dup_rate from f group by 1")
 def bloom_dup_rate_1m(spark, folder):
-    """A filter for 20 000 keys at 5 %, so that errors show at every size of the tables."""
+    """A filter for 20 000 keys at 5 %, as the SQL has it: a fixture whose errors show on small tables and whose answer
+    depends on the table's size. ``bloom_sized_dup_rate_1m`` has a filter sized from the keys."""
     flagged = duplicates.bloom_flags(_keyed(spark, folder), 20_000, 0.05)
     return rounded(duplicates.dup_rate(flagged), "dup_rate")
 
 
-def _flag_accuracy(spark, folder):
+def _flag_accuracy(spark, folder, capacity=20_000, error_rate=0.05):
     rows = written(_keyed(spark, folder), "keyed")
     keys = ["review_id", "dup_key"]
     pick = lambda df: df.where("dups > 0 and review_id is not null")
-    return reports.flag_accuracy(pick(duplicates.exact_flags(rows)), pick(duplicates.bloom_flags(rows, 20_000, 0.05)), keys)
+    return reports.flag_accuracy(pick(duplicates.exact_flags(rows)), pick(duplicates.bloom_flags(rows, capacity, error_rate)), keys)
 
 
 _ACCURACY = _BLOOM + """, x as (select review_id, dup_key, window_start, bool_or(dup) as p, bool_or(rn > 1) as t from (select *, row_number() over (partition by dup_key order by o) as rn from f) where review_id is not null group by 1, 2, 3),
@@ -210,6 +211,27 @@ def bloom_accuracy_summary(spark, folder):
     return rounded(out, *out.columns[1:])
 
 
+# the same with a filter of the operator's error rate for as many keys as there are
+_SIZED = _BLOOM.replace(f"% {_M}", "% (select ceil(-count(*) * ln(0.01) / pow(ln(2), 2))::bigint from first)").replace(f"range({_K})", "range(7)")
+
+
+@query(ORACLE["bloom_dup_rate_1m"].replace(_BLOOM, _SIZED))
+def bloom_sized_dup_rate_1m(spark, folder):
+    flagged = duplicates.bloom_flags(written(_keyed(spark, folder), "keyed"))
+    return rounded(duplicates.dup_rate(flagged), "dup_rate")
+
+
+@query(ORACLE["bloom_accuracy_windows"].replace(_BLOOM, _SIZED))
+def bloom_sized_accuracy_windows(spark, folder):
+    return rounded(_flag_accuracy(spark, folder, None, 0.01), "precision", "recall", "f1")
+
+
+@query(ORACLE["bloom_accuracy_summary"].replace(_BLOOM, _SIZED))
+def bloom_sized_accuracy_summary(spark, folder):
+    out = reports.bloom_accuracy(_flag_accuracy(spark, folder, None, 0.01))
+    return rounded(out, *out.columns[1:])
+
+
 @query("select * from bronze_reviews union all select * from bronze_reviews where ('0x' || substr(md5(coalesce(review_id, '') || ':7'), 1, 8))::bigint < 429496729")
 def duplicate_injection(spark, folder):
     return duplicates.inject_duplicates(reviews(spark, folder))
