@@ -292,6 +292,15 @@ def test_alignment_equals_the_plain_recurrence():
     assert align(np.array([1], dtype=np.uint64), np.array([], dtype=np.uint64)) == (0, 0)
 
 
+def test_leaks_of_items_that_repeat_an_id(spark):
+    """The other text's n-grams are in fewer documents, so they would be the seeds of mixed windows."""
+    texts = [" ".join(f"{x}{i}" for i in range(60)) for x in "ab"]
+    leak = " ".join(texts[0].split()[20:32])
+    docs = spark.createDataFrame([(0, leak), (1, texts[0])], "doc_id long, text string")
+    items = spark.createDataFrame([(7, t) for t in texts], "item_id long, text string")
+    assert {(r.doc_id, r.run) for r in LeakSearch(docs, items).alignments().collect()} == {(0, 12), (1, 60)}
+
+
 def test_many_alignments_equal_single_ones():
     rng = random.Random(12)
     for _ in range(60):

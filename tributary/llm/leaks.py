@@ -157,16 +157,18 @@ class LeakSearch:
         self.kinds = [x.schema[c].dataType.simpleString() for x, c in ((self.docs, "doc_id"), (self.items, "item_id"))]
 
     def item_grams(self) -> DataFrame:
-        """(item_id, pos, gram)."""
+        """(item_id, row, pos, gram); row: a hash of the text, as rows may repeat an id."""
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [grams(word_hashes(t)) for t in batch.column(1).to_pylist()]
+                texts = batch.column(1).to_pylist()
+                found = [grams(word_hashes(t)) for t in texts]
+                own = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], dtype=np.uint64).view(np.int64)
                 rows = np.repeat(np.arange(len(found)), [len(g) for g in found])
                 pos = np.concatenate([*(np.arange(len(g)) for g in found), np.empty(0, dtype=np.int64)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(pos), pa.array(np.concatenate([*found, np.empty(0, dtype=np.int64)]))], names=["item_id", "pos", "gram"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(own[rows]), pa.array(pos), pa.array(np.concatenate([*found, np.empty(0, dtype=np.int64)]))], names=["item_id", "row", "pos", "gram"])
 
-        return written(self.items.mapInArrow(work, f"item_id {self.kinds[1]}, pos int, gram long"), "item-grams")
+        return written(self.items.mapInArrow(work, f"item_id {self.kinds[1]}, row long, pos int, gram long"), "item-grams")
 
     def hits(self, item_grams: DataFrame) -> DataFrame:
         """(doc_id, gram), distinct within a document: n-grams that a document shares with any item."""
@@ -203,9 +205,9 @@ class LeakSearch:
         placed = item_grams.join(spread_of, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
         # the windows of n-grams that RUN words hold; shorter items are one window
         span = RUN - GRAM
-        by = Window.partitionBy("item_id").orderBy("pos")
+        by = Window.partitionBy("item_id", "row").orderBy("pos")
         rarest = F.min(F.struct("df", "gram")).over(by.rowsBetween(0, span))
-        n = F.max("pos").over(Window.partitionBy("item_id"))
+        n = F.max("pos").over(Window.partitionBy("item_id", "row"))
         chosen = placed.withColumns({"best": rarest, "last": n}).where(F.col("pos") <= F.greatest(F.col("last") - span, F.lit(0)))
         seeds = chosen.select("item_id", F.col("best.gram").alias("gram")).distinct()
         return written(hits.join(seeds, "gram").select("doc_id", "item_id").distinct(), "leak-candidates")
