@@ -183,6 +183,11 @@ def test_payloads(spark):
     assert sorted((r.review_id, r.text) for r in payload_records(df).collect()) == [("q", None), ("r", "t")]
 
 
+def test_payloads_in_json_white_space(spark):
+    df = spark.createDataFrame([('\n\t {"review_id": "r"}\r\n ',), ('\n{"review_id": "s"}x\n',), ('{"review_id": "t"}\t',), ('\u00a0{"review_id": "u"}',)], "payload string")
+    assert sorted(r.review_id for r in payload_records(df).collect()) == ["r", "t"]
+
+
 # --- 7
 
 

@@ -21,7 +21,7 @@ def payload_records(messages: DataFrame, payload: str = "payload") -> DataFrame:
     Payloads that are null, cut off, followed by more, or other than objects give no row; missing members are null.
     """
     schema = ", ".join([*(f"{c} string" for c in FIELDS), "_bad string"])
-    body = F.trim(F.col(payload))
+    body = F.btrim(F.col(payload), F.lit(" \t\n\r"))
     parsed = F.from_json(body, schema, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
     rows = messages.where(body.startswith("{") & body.endswith("}") & F.try_parse_json(body).isNotNull()).select(parsed.alias("d"))
     return rows.where("d._bad is null").select("d.*").select(*FIELDS)
