@@ -26,3 +26,12 @@ def test_contract(spark):
 def test_dgim_is_within_half(spark):
     row = catalogue.dgim_accuracy(spark, SMALL).first()
     assert row.n > 0 and row.worst_error <= 0.5
+
+
+def test_wide_bands_meet_nearly_all_pairs(oracle):
+    """Of the pairs whose signatures agree in 0.85, by SQL over a larger table without bands."""
+    sql = catalogue.ORACLE["lsh_similar_pairs_16"].replace("bronze_reviews", "read_parquet('/root/testdata/sf0.01/bronze_reviews.parquet')")
+    every = sql.replace("bands x join bands y using (b, hash)", "sig x join sig y on true")
+    assert every != sql
+    found, whole = (oracle.execute(f"select count(*) from ({q})").fetchone()[0] for q in (sql, every))
+    assert 0 < whole and found >= 0.98 * whole

@@ -351,6 +351,17 @@ def lsh_similar_pairs(spark, folder):
     return _pairs(spark, folder)
 
 
+WIDE = LSHConfig(bands=16)
+_WIDE_ROWS = WIDE.num_perm // WIDE.bands
+_WIDE = _SIMILAR.replace(f"sig[b * {_ROWS} + 1:(b + 1) * {_ROWS}]", f"sig[b * {_WIDE_ROWS} + 1:(b + 1) * {_WIDE_ROWS}]").replace(f"range({CONFIG.bands})", f"range({WIDE.bands})")
+
+
+@query(_WIDE + "select * from pairs")
+def lsh_similar_pairs_16(spark, folder):
+    """16 bands of 8 rows, which meet a pair at the cut-off with probability 0.99, where the reference's 8 of 16 do with 0.46."""
+    return lsh.similar_pairs(written(lsh.select_reviews(reviews(spark, folder), WIDE), "selected"), WIDE)
+
+
 @query(_NOISY + "select similar_review_id, similar_business_id, exact_frequency, round(noisy_frequency, 6) as noisy_frequency from noisy")
 def noisy_frequency(spark, folder):
     return rounded(_noisy(_pairs(spark, folder)), "noisy_frequency")
