@@ -4,8 +4,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tributary.operators.idindex import IdIndex, arrival_slices, deliveries, keep_one
-from tributary.operators.replay import EventTimeReplay, OrderedState
+from tributary.operators.idindex import IdIndex, _Prefix, arrival_slices, deliveries, keep_one
+from tributary.operators.replay import EventTimeReplay, EventTimeStore, OrderedState, replayed_in_batches
 
 T = datetime(2020, 1, 1, 10)
 
@@ -27,14 +27,41 @@ def test_index_counts_every_copy(spark, make_reviews):
 
 
 def test_index_is_idempotent_and_survives_merges(spark, make_reviews, tmp_path):
-    index = IdIndex(spark, f"file://{tmp_path}/ids", prefix_bits=2, merge_after=1)
-    for k in range(4):
+    index = IdIndex(spark, f"file://{tmp_path}/ids", prefix_rows=8, least_bits=1)
+    for k in range(5):
         batch = make_reviews([{"review_id": f"r{i}"} for i in range(k * 10, k * 10 + 15)])
         for _ in range(2 if k in (0, 3) else 1):
             told = {r.id: r.known for r in index.process(batch, k).collect()}
         if k:
             assert {i for i, known in told.items() if known} == {f"r{i}" for i in range(k * 10, k * 10 + 5)}
-    assert len(index.runs) == 2
+    assert len(index.runs) < 4 and index.state["bits"] >= 3
+    assert sorted(index.runs) == sorted(p.name for p in (tmp_path / "ids").iterdir() if p.name.startswith("run"))
+
+
+def test_index_knows_after_it_is_reopened(spark, make_reviews, tmp_path):
+    path = f"file://{tmp_path}/ids"
+    IdIndex(spark, path).process(make_reviews([{"review_id": "x"}, {"review_id": "y"}]), 0)
+    again = IdIndex(spark, path)
+    assert {r.id: r.known for r in again.process(make_reviews([{"review_id": "x"}, {"review_id": "z"}]), 1).collect()} == {"x": True, "z": False}
+    # a batch that failed after its run was written counts for nothing
+    lost = IdIndex(spark, path)
+    lost.manifest.commit = lambda content: (_ for _ in ()).throw(RuntimeError("lost"))
+    try:
+        lost.process(make_reviews([{"review_id": "w"}]), 2)
+    except RuntimeError:
+        pass
+    third = IdIndex(spark, path)
+    assert {r.id: r.known for r in third.process(make_reviews([{"review_id": i} for i in "wxyz"]), 2).collect()} == {"w": False, "x": True, "y": True, "z": True}
+
+
+def test_equal_hashes_are_told_apart_by_the_identifier():
+    import numpy as np
+    import pyarrow as pa
+
+    held = _Prefix()
+    held.hold(np.array([5, 7, 7], dtype=np.int64).tobytes(), pa.array(["a", "b", "c"]))
+    held.hold(np.array([7, 9], dtype=np.int64).tobytes(), pa.array(["d", "e"]))
+    assert held.search(np.array([5, 7, 7, 7, 9, 10]), pa.array(["a", "d", "c", "x", "y", "z"])).tolist() == [True, True, True, False, False, False]
 
 
 def test_index_of_nothing(spark, make_reviews):
@@ -86,3 +113,26 @@ def test_late_rows(make_reviews):
     by_business = EventTimeReplay(make_reviews(rows), key="business_id").current()
     assert by_business.agg(F.sum("n_reviews")).first()[0] == 4
     assert EventTimeReplay(make_reviews([])).current().count() == 0
+
+
+def test_stored_state_equals_one_replay(spark, make_reviews, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for i in range(160):
+        event = T + timedelta(minutes=rng.randrange(3000))
+        rows.append({"review_id": rng.choice([None, f"r{rng.randrange(120)}"]), "business_id": rng.choice("ab"), "stars": rng.choice([None, 1.0, 4.0]), "event_time": event, "ingest_time": event + timedelta(minutes=rng.choice([0, 5, 300, 1600, 4000]))})
+    rows.sort(key=lambda r: r["ingest_time"])
+    whole = EventTimeReplay(make_reviews(rows), key="business_id")
+    path = f"file://{tmp_path}/state"
+    for k in range(3):
+        store = EventTimeStore(spark, path, key="business_id")  # opened anew for each batch
+        part = make_reviews(rows[k * 54 : k * 54 + 54])
+        for _ in range(2 if k % 2 else 1):  # and processed again
+            store.process(part, k)
+    columns = ["key", "hour", "n_reviews", "avg_stars", "day_reviews", "day_avg_stars"]
+    tidy = lambda df: sorted((r.key, r.hour, r.n_reviews, round(r.avg_stars or 0, 9), r.day_reviews, round(r.day_avg_stars or 0, 9)) for r in df.select(*columns).collect())
+    assert tidy(EventTimeStore(spark, path, key="business_id").current()) == tidy(whole.current())
+    late = lambda df: sorted((str(r.id), r.event_time) for r in df.collect())
+    assert late(store.rejected()) == late(whole.rejected()) != []
+    nothing = replayed_in_batches(make_reviews([]), 2)
+    assert nothing.current().count() == nothing.rejected().count() == 0

@@ -33,7 +33,9 @@ def build_session(app: str = "tributary", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    return builder.config(map=settings).getOrCreate()
+    spark = builder.config(map=settings).getOrCreate()
+    ship(spark)
+    return spark
 
 
 def is_local(spark: SparkSession) -> bool:
@@ -43,9 +45,17 @@ def is_local(spark: SparkSession) -> bool:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to executors in other processes, once per application."""
+    """Let Python workers import this package, wherever they start: once per application.
+
+    Executors in other processes get it as an archive; workers of a local session get its folder on their path.
+    """
     sc = spark.sparkContext
-    if is_local(spark) or getattr(sc, "_tributary_shipped", False):
+    if getattr(sc, "_tributary_shipped", False):
+        return
+    if is_local(spark):
+        given = sc.environment.get("PYTHONPATH", "")
+        sc.environment["PYTHONPATH"] = os.pathsep.join([str(PACKAGE.parent), *([given] if given else [])])
+        sc._tributary_shipped = True
         return
     folder = tempfile.mkdtemp(prefix="tributary-code-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -80,10 +90,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tributary-{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, if it is there."""
+    fs, target = file_system(spark, path)
+    fs.delete(target, True)
+
+
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Intermediate tables live as long as the application, as results may still be computed from them."""
+    paths = getattr(spark, "_tributary_written", None)
+    if paths is None:
+        paths = spark._tributary_written = []
+
+        def clean() -> None:
+            if spark.sparkContext._jsc is not None:
+                for p in paths:
+                    try:
+                        drop_path(spark, p)
+                    except Exception:  # the application is ending: what can't be removed stays
+                        return
+
+        atexit.register(clean)
+    paths.append(path)
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, lineage cut, survives lost executors."""
+    """``df`` as a table in the shared folder: computed once, lineage cut, survives lost executors; removed when the application ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _drop_at_exit(spark, path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -101,6 +142,11 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Partitions for a shuffle before Python work, which adaptive coalescing by bytes would put into too few tasks."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder of tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
