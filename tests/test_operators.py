@@ -1,4 +1,5 @@
 import math
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -46,6 +47,14 @@ def test_files(spark, tmp_path):
     assert sources.sample_lines(spark, str(tmp_path / "j"), 7).count() == 7
     assert sinks.append_counted(df, str(tmp_path / "p")) == 30
     assert sources.recent_files(spark.read.parquet(str(tmp_path / "p")), 100).count() == 30
+    for i in range(3):
+        spark.range(1).selectExpr(f"{i} x").coalesce(1).write.mode("append").parquet(str(tmp_path / "files"))
+        time.sleep(1.1)
+    assert sorted(r.x for r in sources.recent_files(spark.read.parquet(str(tmp_path / "files")), 2).collect()) == [1, 2]
+    (tmp_path / "bad.json").write_text('{"stars": 1}\n{"stars"\n')
+    assert sources.json_lines(spark, str(tmp_path / "bad.json")).count() == 2
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|ailfast"):
+        sources.json_lines(spark, str(tmp_path / "bad.json"), strict=True).collect()
     assert sources.read_or_empty(spark, str(tmp_path / "none"), "a int").count() == 0
     with pytest.raises(ValueError, match="nope"):
         sources.read_batch(spark, str(tmp_path / "p"), required=["nope", "stars"])
@@ -54,8 +63,9 @@ def test_files(spark, tmp_path):
     sinks.append_counted(df, str(tmp_path / "d/bronze_reviews"))
     sinks.append_counted(df.limit(0), str(tmp_path / "d/metrics_1m"))
     taken = []
-    told = sinks.load_all(spark, str(tmp_path / "d"), lambda d, n: taken.append(n), ["bronze_reviews", "metrics_1m", "other"])
+    told = sinks.load_all(spark, str(tmp_path / "d"), lambda d, n: taken.append(n), {n: n for n in ("bronze_reviews", "metrics_1m", "other")})
     assert taken == ["bronze_reviews"] and told == {"bronze_reviews": "loaded", "metrics_1m": "empty", "other": "missing"}
+    assert len(sinks.REPORTED) == 14 and sinks.REPORTED["gold_dup_rate_1m_high_rated"] == "dup_rate_1m_high_rated" and "bronze_reviews" not in sinks.REPORTED
     assert reports.storage_report(spark, str(tmp_path)).where("size_bytes > 0").count() >= 2
 
 
@@ -71,7 +81,7 @@ def test_bloom_has_no_false_negatives(spark, make_reviews):
 
 
 def test_bloom_error_rate_holds_beyond_the_reference_capacity(spark):
-    rows = spark.range(600_000).selectExpr("id::string dup_key", "id at", "id::string review_id", "timestamp_ntz '2020-01-01' window_start", "1l n")
+    rows = spark.range(600_000).selectExpr("unhex(md5(id::string)) dup_key", "id at", "id::string review_id", "timestamp_ntz '2020-01-01' window_start", "1l n")
     assert duplicates.bloom_flags(rows).agg(F.sum("dups")).first()[0] <= 6_000
 
 
@@ -117,6 +127,71 @@ def test_pairs_and_summary(make_reviews):
     assert lsh.similar_pairs(lsh.select_reviews(df.limit(0), config), config).count() == 0
 
 
+def test_bands_follow_the_threshold():
+    assert LSHConfig().split() == 16 and LSHConfig(threshold=0.5).split() > 16 and LSHConfig(threshold=0.97).split() < 16 and LSHConfig(bands=8).split() == 8
+    assert LSHConfig.from_env({"LSH_BUG_MAX_STAR": "none"}).bug_max_star is None
+
+
+def test_a_hot_text_is_one_class(spark, make_reviews):
+    words = " ".join(f"word{i}" for i in range(30)) + " bug"
+    df = make_reviews([{"review_id": f"r{i:03}", "text": words if i else words + " more"} for i in range(300)])
+    pairs = lsh.similar_pairs(lsh.select_reviews(df, LSHConfig()), LSHConfig())
+    assert pairs.count() == 300 * 299 // 2 and pairs.where("approx_jaccard = 1").count() == 299 * 298 // 2
+
+
+def test_batch_is_written(spark, make_reviews, tmp_path):
+    words = " ".join(f"word{i}" for i in range(40)) + " bug"
+    make_reviews([{"review_id": r, "text": words} for r in "abc"]).write.parquet(str(tmp_path / "in"))
+    config = LSHConfig(source_path=str(tmp_path / "in"), event_time_column="ingest_time", dp_min_noisy_count=-1e9, raw_sink=f"{tmp_path}/raw", dp_sink=f"{tmp_path}/dp", bug_summary_sink=f"{tmp_path}/sum")
+    for _ in range(2):
+        lsh.run(lsh.load_reviews(spark, config), config)
+        time.sleep(1.1)
+    raw = spark.read.parquet(config.raw_sink)
+    assert raw.count() == 6 and raw.select("batch_id").distinct().count() == 2 and raw.where("processing_time is null").count() == 0
+    assert "exact_frequency" not in spark.read.parquet(config.dp_sink).columns
+    assert spark.read.parquet(config.bug_summary_sink).select("bug_pair_count").collect() == [(3,), (3,)]
+    with pytest.raises(ValueError, match="text"):
+        lsh.load_reviews(spark, LSHConfig(source_path=config.bug_summary_sink))
+
+
+def test_event_column(spark):
+    df = spark.sql("select timestamp '2020-01-01' event_time, timestamp '2020-01-02' ingest_time, '2020-01-03' date")
+    pick = lambda d, c="": d.select(sources.event_column(d, c)).first()[0]
+    assert (pick(df).day, pick(df, "event_time").day, pick(df.select("date")).day) == (2, 1, 3)
+    assert pick(df.select(F.lit(1).alias("x"))) is not None
+
+
+def test_epochs_reset_the_filter(make_reviews):
+    rows = [{"review_id": f"r{i}", "text": f"t{i % 10}", "ingest_time": T + timedelta(minutes=i)} for i in range(120)]
+    kept = duplicates.with_epochs(duplicates.keyed_rows(make_reviews(rows + [{"ingest_time": None}])), 25)
+    sizes = sorted(r["count"] for r in kept.groupBy("epoch").count().collect())
+    assert sizes == [1, 20, 20, 20, 20, 20, 20]
+    assert duplicates.exact_flags(kept).agg(F.sum("dups")).first()[0] == 60
+    assert 60 <= duplicates.bloom_flags(kept, 25).agg(F.sum("dups")).first()[0] <= 63
+    assert duplicates.bloom_flags(kept.limit(0), 25).count() == 0
+
+
+def test_exact_injection(spark, make_reviews):
+    df = make_reviews([{"review_id": f"r{i % 40}"} for i in range(55)])
+    got = duplicates.inject_exactly(df, 0.5)
+    assert got.count() == 55 + 27 and got.columns == df.columns
+    assert duplicates.inject_exactly(df, 0.001).count() == 56
+    assert duplicates.inject_exactly(df.limit(0), 0.5).count() == 0
+    assert sorted(r._number for r in duplicates.numbered(df, df.columns).collect()) == list(range(55))
+
+
+def test_command_line(spark, tmp_path):
+    from tributary.__main__ import main
+
+    (tmp_path / "in.jsonl").write_text("\n".join(f'{{"review_id": "r{i}", "user_id": "u", "business_id": "b", "stars": 5, "text": "t", "event_time": "2020-01-01T10:00:0{i}Z"}}' for i in range(8)) + "\n\n")
+    for args, n in ((["sample", "--records", "3"], 3), (["sample", "--records", "3", "--method", "reservoir"], 3), (["inject", "--duplicate-fraction", "0.25"], 10)):
+        main([args[0], "--source", str(tmp_path / "in.jsonl"), "--destination", str(tmp_path / "out"), *args[1:]], spark)
+        assert spark.read.text(str(tmp_path / "out")).count() == n
+    with pytest.raises(SystemExit):
+        main(["inject", "--source", "x", "--destination", "y", "--duplicate-fraction", "-1"], spark)
+    main(["load", "--folder", str(tmp_path / "nothing")], spark)
+
+
 def test_units(spark):
     got = [r[0] for r in spark.createDataFrame([(0.25,), (5.0,), (90.0,), (7200.0,)], "s double").select(reports.auto_unit(F.col("s"))).collect()]
     assert got == ["250.00 ms", "5.00 s", "1.50 min", "2.00 h"]

@@ -2,10 +2,10 @@ import pytest
 from conftest import SMALL, compare
 
 import __spark_entry__ as entry
-from tributary.plans import catalogue, problems
+from tributary.plans import catalogue, problems, streams
 
-CORE = {**catalogue.QUERIES, **problems.QUERIES}
-SQL = {**catalogue.ORACLE, **problems.ORACLE}
+CORE = {**catalogue.QUERIES, **streams.QUERIES, **problems.QUERIES}
+SQL = {**catalogue.ORACLE, **streams.ORACLE, **problems.ORACLE}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -30,7 +30,7 @@ def test_dgim_is_within_half(spark):
 
 def test_wide_bands_meet_nearly_all_pairs(oracle):
     """Of the pairs whose signatures agree in 0.85, by SQL over a larger table without bands."""
-    sql = catalogue.ORACLE["lsh_similar_pairs_16"].replace("bronze_reviews", "read_parquet('/root/testdata/sf0.01/bronze_reviews.parquet')")
+    sql = catalogue.ORACLE["lsh_similar_pairs"].replace("bronze_reviews", "read_parquet('/root/testdata/sf0.01/bronze_reviews.parquet')")
     every = sql.replace("bands x join bands y using (b, hash)", "sig x join sig y on true")
     assert every != sql
     found, whole = (oracle.execute(f"select count(*) from ({q})").fetchone()[0] for q in (sql, every))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.config import LSHConfig
 from tributary.functions.text import has_keyword, keyword_matches, tokens
+from tributary.operators.blocks import block_pairs
+from tributary.session import written
+from tributary.sources.reviews import event_column, read_batch
+from tributary.sources.sinks import append_counted
 
 #: A Mersenne prime: products of two values below it fit 64 bits.
 PRIME = 2**31 - 1
@@ -18,13 +22,17 @@ def permutations(count: int, seed: int = 42) -> list[tuple[int, int]]:
 
 
 def select_reviews(df: DataFrame, config: LSHConfig) -> DataFrame:
-    """Reviews that take part: complete ones, one row per id (the earliest), by keyword and stars if so set, at most ``max_reviews`` by time if that is set."""
-    when = config.event_time_column or "event_time"
-    rows = df.select("review_id", "business_id", F.col(config.text_column).alias("text"), "stars", F.col(when).alias("event_time")).dropna(subset=["review_id", "business_id", "text"])
+    """Reviews that take part: complete ones, one row per id (the earliest), by keyword and stars if so set, at most ``max_reviews`` by time if that is set.
+
+    The time is the configured column, else event_time, else the first of ingest_time and date, else now. ``bug_max_star`` None sets no limit.
+    """
+    when = F.col("event_time") if not config.event_time_column and "event_time" in df.columns else event_column(df, config.event_time_column)
+    rows = df.select("review_id", "business_id", F.col(config.text_column).alias("text"), "stars", when.alias("event_time")).dropna(subset=["review_id", "business_id", "text"])
     rank = F.row_number().over(Window.partitionBy("review_id").orderBy(F.col("event_time").asc_nulls_last(), "business_id", "stars", "text"))
     rows = rows.withColumn("_r", rank).where("_r = 1").drop("_r")
     if config.filter_bug_reviews:
-        rows = rows.where(has_keyword(F.col("text"), config.bug_keywords)).where(F.col("stars") <= config.bug_max_star)
+        rows = rows.where(has_keyword(F.col("text"), config.bug_keywords))
+        rows = rows if config.bug_max_star is None else rows.where(F.col("stars") <= config.bug_max_star)
     return rows.orderBy(F.col("event_time").asc_nulls_last(), "review_id").limit(config.max_reviews) if config.max_reviews else rows
 
 
@@ -43,17 +51,26 @@ def signatures(reviews: DataFrame, config: LSHConfig) -> DataFrame:
 def similar_pairs(reviews: DataFrame, config: LSHConfig) -> DataFrame:
     """Pairs whose estimated similarity is at least ``min_jaccard``; of each pair the later review (time, then id) is ``review_id``.
 
-    Band hashes meet by equality; with ``max_candidates`` a review keeps its most similar ones.
+    Reviews of equal signature are one class, made with map-side combining, so a text that is copied a million times is one row in
+    the search. Bands of classes meet by their hash, hot ones in blocks; pairs of classes are scored once, and then
+    given to their members, copies in blocks too. With ``max_candidates`` a review keeps its most similar ones.
     """
-    rows = config.num_perm // config.bands
-    signed = signatures(reviews, config)
-    band = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.md5(F.array_join(F.slice("sig", i * rows + 1, rows), ",")).alias("hash")) for i in range(config.bands)])).alias("b")
-    keyed = signed.select("review_id", band).select("review_id", "b.band", "b.hash")
-    other = keyed.withColumnRenamed("review_id", "similar_review_id")
-    met = keyed.join(other, ["band", "hash"]).where("review_id < similar_review_id").select("review_id", "similar_review_id").distinct()
-    a, b = signed.withColumnRenamed("sig", "sa"), signed.select(F.col("review_id").alias("similar_review_id"), F.col("sig").alias("sb"))
+    bands = config.split()
+    rows = config.num_perm // bands
+    kind = F.unhex(F.md5(F.array_join("sig", ","))).alias("c")
+    signed = written(signatures(reviews, config).select("review_id", kind, "sig"), "signed")
+    classes = written(signed.groupBy("c").agg(F.first("sig").alias("sig")), "classes")
+    band = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.unhex(F.md5(F.array_join(F.slice("sig", i * rows + 1, rows), ","))).alias("hash")) for i in range(bands)])).alias("b")
+    keyed = classes.select("c", band).select("c", "b.band", "b.hash")
+    met = block_pairs(keyed, ["band", "hash"], "c").select("c_a", "c_b").distinct()
+    a, b = classes.select(F.col("c").alias("c_a"), F.col("sig").alias("sa")), classes.select(F.col("c").alias("c_b"), F.col("sig").alias("sb"))
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    scored = met.join(a, "review_id").join(b, "similar_review_id").select("review_id", "similar_review_id", (same / F.lit(float(config.num_perm))).alias("approx_jaccard")).where(F.col("approx_jaccard") >= config.min_jaccard)
+    near = met.join(a, "c_a").join(b, "c_b").select("c_a", "c_b", (same / F.lit(float(config.num_perm))).alias("approx_jaccard")).where(F.col("approx_jaccard") >= config.min_jaccard)
+    members = signed.select("c", "review_id")
+    left, right = members.select(F.col("c").alias("c_a"), F.col("review_id").alias("x")), members.select(F.col("c").alias("c_b"), F.col("review_id").alias("y"))
+    across = near.join(left, "c_a").join(right, "c_b").select("x", "y", "approx_jaccard")
+    copies = block_pairs(members, ["c"], "review_id").select(F.col("review_id_a").alias("x"), F.col("review_id_b").alias("y"), F.lit(1.0).alias("approx_jaccard"))
+    scored = across.union(copies).select(F.col("x").alias("review_id"), F.col("y").alias("similar_review_id"), "approx_jaccard")
     facts = reviews.select(F.col("review_id").alias("id"), F.col("business_id").alias("b"), F.col("event_time").alias("t"), F.col("stars").alias("s"), F.array_join(keyword_matches(F.col("text"), config.bug_keywords), ",").alias("k"))
     left, right = facts.select(F.struct("*").alias("x")), facts.select(F.struct("*").alias("y"))
     joined = scored.join(left, F.col("review_id") == F.col("x.id")).join(right, F.col("similar_review_id") == F.col("y.id"))
@@ -121,18 +138,19 @@ def bug_summary(pairs: DataFrame, low_star: float | None = 3.0) -> DataFrame:
     )
 
 
+def load_reviews(spark: SparkSession, config: LSHConfig) -> DataFrame:
+    """The configured source, which must have the columns that the batch needs."""
+    return read_batch(spark, config.source_path, config.source_format, ["review_id", "business_id", "stars", config.text_column])
+
+
 def run(df: DataFrame, config: LSHConfig | None = None, write: bool = True) -> dict[str, DataFrame]:
-    """The batch: pairs, private pairs and summary, each written to its sink."""
+    """The batch: pairs, private pairs and summary, each appended to its sink; noise is drawn once and written, and has no seed unless ``dp_seed`` is set."""
     config = config or LSHConfig()
-    spark = df.sparkSession
-    raw = stamped(similar_pairs(select_reviews(df, config), config))
-    if write:
-        raw.write.mode("append").parquet(config.raw_sink)
-        raw = spark.read.parquet(config.raw_sink).join(F.broadcast(spark.read.parquet(config.raw_sink).agg(F.max("batch_id").alias("batch_id"))), "batch_id").select(*raw.columns)
-    noisy = noisy_frequencies(frequencies(raw), config.dp_epsilon, config.dp_sensitivity, config.random_seed or None)
-    private = private_pairs(raw, noisy.checkpoint() if write else noisy, config.dp_min_noisy_count)
+    raw = written(stamped(similar_pairs(select_reviews(df, config), config)), "raw-pairs")
+    noisy = written(noisy_frequencies(frequencies(raw), config.dp_epsilon, config.dp_sensitivity, config.dp_seed or None), "noisy")
+    private = private_pairs(raw, noisy, config.dp_min_noisy_count)
     summary = bug_summary(private, config.bug_max_star)
     if write:
-        private.write.mode("append").parquet(config.dp_sink)
-        summary.write.mode("append").parquet(config.bug_summary_sink)
+        for made, sink in ((raw, config.raw_sink), (private, config.dp_sink), (summary, config.bug_summary_sink)):
+            append_counted(made, sink)
     return {"raw": raw, "private": private, "summary": summary}

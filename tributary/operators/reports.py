@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time as clock
+from collections import deque
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -71,10 +72,19 @@ def performance_rollup(batches: DataFrame, minute: Column) -> DataFrame:
 
 
 class ProgressLog(StreamingQueryListener):
-    """What Spark reports of each batch of each query: rates, state size, late rows."""
+    """What Spark reports of each batch of each query: rates, state size, late rows. The last ``most`` reports are held; ``drain`` takes them."""
 
-    def __init__(self):
-        self.rows: list[dict] = []
+    SCHEMA = "name string, batch long, input_rows long, input_rate double, process_rate double, state_bytes long, late_rows long"
+
+    def __init__(self, most: int = 10_000):
+        self.rows: deque[dict] = deque(maxlen=most)
+
+    def drain(self) -> list[dict]:
+        """The reports since the last call."""
+        out = []
+        while self.rows:
+            out.append(self.rows.popleft())
+        return out
 
     def onQueryStarted(self, event):  # noqa: N802
         pass
@@ -138,7 +148,12 @@ def auto_unit(seconds: Column) -> Column:
 
 def ranked_by(df: DataFrame, key: str, top: int, name: str = "n") -> DataFrame:
     """The ``top`` values of a column by their rows, ties by value."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias(name)).orderBy(F.desc(name), key).limit(top)
+    return top_rows(df.groupBy(key).agg(F.count(F.lit(1)).alias(name)), name, [key], top)
+
+
+def top_rows(df: DataFrame, measure: str, ties: list[str], top: int) -> DataFrame:
+    """The ``top`` rows by a measure, nulls last, equal ones by the columns ``ties``."""
+    return df.orderBy(F.desc_nulls_last(measure), *ties).limit(top)
 
 
 def last_windows(df: DataFrame, top: int = 50, window: str = "window_start") -> DataFrame:
@@ -157,7 +172,17 @@ def noise_compare(private: DataFrame, exact: DataFrame) -> DataFrame:
     return private.select(*keys, "noisy_frequency").distinct().join(exact, keys, "left").withColumn("noise", F.col("noisy_frequency") - F.col("exact_frequency"))
 
 
-def repeats_within(df: DataFrame, window: str = "window_start") -> DataFrame:
-    """Rows that repeat an id within a window, after its first by event time."""
-    order = Window.partitionBy(window, "review_id").orderBy("event_time", "ingest_time")
-    return df.where("review_id is not null").withColumn("_r", F.row_number().over(order)).where("_r > 1").drop("_r")
+def repeats_within(df: DataFrame, window: str = "window_start", id: str = "review_id") -> DataFrame:
+    """(id, window, n_repeats): by how many rows an id repeats within a window: a count less one, combined before the shuffle."""
+    n = F.count(F.lit(1))
+    return df.where(F.col(id).isNotNull()).groupBy(id, window).agg((n - 1).alias("n_repeats")).where("n_repeats > 0")
+
+
+def iso_time(time: Column) -> Column:
+    """A UTC time as ISO 8601 to the second."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def snippet(text: Column, length: int = 160) -> Column:
+    """The first characters of a text without white space around it; null for null."""
+    return F.substring(F.trim(text), 1, length)

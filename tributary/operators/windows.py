@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.session import BROADCAST_ROWS
+
 
 def high_rated(stars: str = "stars", least: float = 4.0) -> Column:
     """The segment of highly rated reviews."""
@@ -84,6 +86,7 @@ def sliding_ones(df: DataFrame, predicate: Column, minutes: int = 60, time: str
     return summed.select(F.col("key").alias(key), F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"), F.col("total").alias("ones"))
 
 
-def enrich(df: DataFrame, dimension: DataFrame, key: str, small: bool = False) -> DataFrame:
-    """Left join of a stream or table with a dimension; ``small`` vouches that the dimension fits in each executor."""
+def enrich(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    """Left join of a stream or table with a dimension, which is broadcast if its counted rows are at most BROADCAST_ROWS."""
+    small = dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(dimension) if small else dimension, key, "left")

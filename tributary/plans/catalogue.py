@@ -11,8 +11,9 @@ from tributary.config import LSHConfig
 from tributary.functions.text import BUG_KEYWORDS, has_keyword, keyword_matches, keyword_pattern, tokens
 from tributary.operators import distinct, duplicates, lsh, reports, sampling, windows
 from tributary.operators.dgim import dgim
-from tributary.session import spread, table, written
-from tributary.sources.reviews import parse_messages
+from tributary.session import new_path, spread, table, written
+from tributary.sources.reviews import json_lines, parse_messages, read_many
+from tributary.sources.sinks import write_json_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,6 +113,13 @@ def dgim_60m(spark, folder):
     return dgim(reviews(spark, folder), F.coalesce(windows.high_rated(), F.lit(False)))
 
 
+@query(_ONES.replace("as ones from (select", "as ones, true as within_half from (select"))
+def dgim_bounds(spark, folder):
+    """At each time the exact count, and whether the estimate is within half of it."""
+    both = dgim_60m(spark, folder).join(sliding_60m_exact(spark, folder), ["business_id", "ts"])
+    return both.select("business_id", "ts", "ones", (F.abs(F.col("estimate") - F.col("ones")) * 2 <= F.col("ones")).alias("within_half"))
+
+
 @query()
 def dgim_accuracy(spark, folder):
     """DGIM beside the exact count."""
@@ -165,11 +173,11 @@ def dup_rate_1m(spark, folder):
 select review_id, md5(dup_key) as key_md5, count(*) filter (dup) as dups from f group by 1, 2 having count(*) filter (dup) > 0""")
 def dup_flag_exact(spark, folder):
     flagged = duplicates.exact_flags(_keyed(spark, folder))
-    return flagged.groupBy("review_id", F.md5("dup_key").alias("key_md5")).agg(F.sum("dups").alias("dups")).where("dups > 0")
+    return flagged.groupBy("review_id", F.lower(F.hex("dup_key")).alias("key_md5")).agg(F.sum("dups").alias("dups")).where("dups > 0")
 
 
 _M, _K = duplicates.bloom_size(20_000, 0.05)
-_BLOOM = f"""with {_KEYED}, r as (select *, row_number() over (order by ingest_time nulls first, review_id nulls first, window_start nulls first, dup_key) as o from k),
+_BLOOM = f"""with {_KEYED}, r as (select *, row_number() over (order by ingest_time nulls first, review_id nulls first, window_start nulls first, md5(dup_key)) as o from k),
 first as (select dup_key, min(o) as o, ('0x' || substr(md5(dup_key), 1, 8))::bigint as a, ('0x' || substr(md5(dup_key), 9, 8))::bigint as b from r group by 1),
 bits as (select distinct dup_key, o, (a + i * b) % {_M} as bit from first, range({_K}) t(i)),
 born as (select bit, min(o) as born from bits group by 1),
@@ -211,6 +219,45 @@ def bloom_accuracy_summary(spark, folder):
     return rounded(out, *out.columns[1:])
 
 
+# the same with a filter of the operator's capacity and error rate that is reset each hour of arrival and at 80 % of it
+_RM, _RK = duplicates.bloom_size(200_000, 0.01)
+_RESET = f"""with k0 as (select {_KEY} as dup_key, ingest_time, review_id, date_trunc('minute', event_time)::timestamp as window_start, event_time, coalesce(floor(epoch_us(ingest_time) / 3600000000), -1) as period from bronze_reviews),
+a0 as (select period, ingest_time, count(*) as n from k0 group by 1, 2),
+e0 as (select ingest_time, period, floor(coalesce(sum(n) over (partition by period order by ingest_time nulls first rows between unbounded preceding and 1 preceding), 0) / 160000) as part from a0),
+k as (select k0.*, part from k0 join e0 on e0.ingest_time is not distinct from k0.ingest_time),
+r as (select *, row_number() over (partition by period, part order by ingest_time nulls first, review_id nulls first, window_start nulls first, md5(dup_key)) as o from k),
+first as (select dup_key, period, part, min(o) as o, ('0x' || substr(md5(dup_key), 1, 8))::bigint as a, ('0x' || substr(md5(dup_key), 9, 8))::bigint as b from r group by 1, 2, 3),
+bits as (select distinct dup_key, period, part, o, (a + i * b) % {_RM} as bit from first, range({_RK}) t(i)),
+born as (select period, part, bit, min(o) as born from bits group by 1, 2, 3),
+fp as (select dup_key, period, part, max(born) < min(o) as fp, min(o) as o from bits join born using (period, part, bit) group by 1, 2, 3),
+f as (select r.*, r.o <> fp.o or fp.fp as dup from r join fp using (dup_key, period, part))
+"""
+
+
+def _epochs(spark, folder):
+    return written(duplicates.with_epochs(_keyed(spark, folder)), "epochs")
+
+
+@query(_RESET + "select window_start, count(*) as total, count(*) filter (dup) as dup_count, round(count(*) filter (dup) / count(*), 6) as dup_rate from f group by 1")
+def bloom_reset_dup_rate_1m(spark, folder):
+    """A filter of the default capacity, 200 000 keys at 1 %, emptied each hour and when it is 80 % full: errors stay within its rate at every size."""
+    return rounded(duplicates.dup_rate(duplicates.bloom_flags(_epochs(spark, folder), 200_000)), "dup_rate")
+
+
+@query(
+    _RESET
+    + """, x as (select review_id, dup_key, window_start, bool_or(dup) as p, bool_or(rn > 1) as t from (select *, row_number() over (partition by dup_key, period, part order by o) as rn from f) where review_id is not null group by 1, 2, 3),
+w as (select window_start, count(*) filter (p) as flagged, count(*) filter (t) as exact, count(*) filter (p and t) as tp, count(*) filter (p and not t) as fp, count(*) filter (t and not p) as fn from x where p or t group by 1)
+select window_start, flagged, exact, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall from w"""
+)
+def bloom_reset_accuracy_windows(spark, folder):
+    """Its flags against exact duplicates within the same stretches between resets."""
+    rows = _epochs(spark, folder)
+    pick = lambda df: df.where("dups > 0 and review_id is not null")
+    found = reports.flag_accuracy(pick(duplicates.exact_flags(rows)), pick(duplicates.bloom_flags(rows, 200_000)), ["review_id", "dup_key"])
+    return rounded(found.drop("f1"), "precision", "recall")
+
+
 # the same with a filter of the operator's error rate for as many keys as there are
 _SIZED = _BLOOM.replace(f"% {_M}", "% (select ceil(-count(*) * ln(0.01) / pow(ln(2), 2))::bigint from first)").replace(f"range({_K})", "range(7)")
 
@@ -237,6 +284,17 @@ def duplicate_injection(spark, folder):
     return duplicates.inject_duplicates(reviews(spark, folder))
 
 
+_ALL = ["review_id", "user_id", "business_id", "stars", "text", "event_time", "ingest_time"]
+
+
+@query(f"""with o as (select *, row_number() over (order by {', '.join(f'{c} nulls first' for c in _ALL)}) - 1 as i, count(*) over () as n from bronze_reviews),
+d as (select ('0x' || substr(md5(k || ':7'), 1, 15))::bigint % n as i from (select n, unnest(range(greatest(1, floor(n * 0.1)::bigint))) as k from (select count(*) as n from bronze_reviews)))
+select * from bronze_reviews union all select {', '.join(_ALL)} from o join d using (i)""")
+def duplicate_injection_exact(spark, folder):
+    """Exactly a tenth of the rows once more, drawn with replacement, in random order."""
+    return duplicates.shuffled(duplicates.inject_exactly(reviews(spark, folder).select(*_ALL)))
+
+
 # --- distinct counts and samples -----------------------------------------------------------------
 
 
@@ -305,8 +363,9 @@ p(a, b, i) as (values {_PERMS}),
 m as (select review_id, i, min((h * a + b) % {lsh.PRIME}) as m from h, p group by 1, 2),
 sig as (select review_id, list(m order by i) as sig from m group by 1)
 """
-_ROWS = CONFIG.num_perm // CONFIG.bands
-_SIMILAR = _SIGNED + f""", bands as (select review_id, b, array_to_string(sig[b * {_ROWS} + 1:(b + 1) * {_ROWS}], ',') as hash from sig, range({CONFIG.bands}) t(b)),
+_BANDS = CONFIG.split()
+_ROWS = CONFIG.num_perm // _BANDS
+_SIMILAR = _SIGNED + f""", bands as (select review_id, b, array_to_string(sig[b * {_ROWS} + 1:(b + 1) * {_ROWS}], ',') as hash from sig, range({_BANDS}) t(b)),
 met as (select distinct x.review_id as x, y.review_id as y from bands x join bands y using (b, hash) where x.review_id < y.review_id),
 est as (select x, y, len(list_filter(list_zip(a.sig, b.sig), lambda z: z[1] = z[2])) / {CONFIG.num_perm}.0 as j from met join sig a on a.review_id = x join sig b on b.review_id = y),
 facts as (select *, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '{_PATTERN}'))), ',') as k from s),
@@ -351,15 +410,27 @@ def lsh_similar_pairs(spark, folder):
     return _pairs(spark, folder)
 
 
-WIDE = LSHConfig(bands=16)
-_WIDE_ROWS = WIDE.num_perm // WIDE.bands
-_WIDE = _SIMILAR.replace(f"sig[b * {_ROWS} + 1:(b + 1) * {_ROWS}]", f"sig[b * {_WIDE_ROWS} + 1:(b + 1) * {_WIDE_ROWS}]").replace(f"range({CONFIG.bands})", f"range({WIDE.bands})")
+NARROW = LSHConfig(bands=8)
+_NARROW_ROWS = NARROW.num_perm // NARROW.bands
+_NARROW = _SIMILAR.replace(f"sig[b * {_ROWS} + 1:(b + 1) * {_ROWS}]", f"sig[b * {_NARROW_ROWS} + 1:(b + 1) * {_NARROW_ROWS}]").replace(f"range({_BANDS})", f"range({NARROW.bands})")
+
 
+@query(_NARROW + "select * from pairs")
+def lsh_similar_pairs_8(spark, folder):
+    """8 bands of 16 rows, as the reference's library is taken to choose, which meet a pair at the cut-off with a probability of 0.46; 16 of 8 do with 0.99."""
+    return lsh.similar_pairs(written(_selected(spark, folder), "selected"), NARROW)
 
-@query(_WIDE + "select * from pairs")
-def lsh_similar_pairs_16(spark, folder):
-    """16 bands of 8 rows, which meet a pair at the cut-off with probability 0.99, where the reference's 8 of 16 do with 0.46."""
-    return lsh.similar_pairs(written(lsh.select_reviews(reviews(spark, folder), WIDE), "selected"), WIDE)
+
+@query(_SIMILAR + "select * exclude (r) from (select *, row_number() over (partition by review_id order by approx_jaccard desc, similar_review_id) as r from pairs) where r <= 2")
+def lsh_nearest_pairs(spark, folder):
+    """At most two similar reviews of each review."""
+    return lsh.similar_pairs(written(_selected(spark, folder), "selected"), LSHConfig(max_candidates=2))
+
+
+@query(_SIGNED + "select review_id, event_time from s order by event_time nulls last, review_id limit 200")
+def lsh_capped_reviews(spark, folder):
+    """The selection's cap: the first 200 by time."""
+    return lsh.select_reviews(reviews(spark, folder), LSHConfig(max_reviews=200)).select("review_id", "event_time")
 
 
 @query(_NOISY + "select similar_review_id, similar_business_id, exact_frequency, round(noisy_frequency, 6) as noisy_frequency from noisy")
@@ -374,8 +445,9 @@ def lsh_private_pairs(spark, folder):
 
 @query(_NOISY + ", n as (select distinct similar_review_id, similar_business_id, noisy_frequency from dp) select similar_review_id, similar_business_id, round(noisy_frequency, 6) as noisy_frequency, exact_frequency, round(noisy_frequency - exact_frequency, 6) as noise from n left join freq using (similar_review_id, similar_business_id)")
 def noise_compare(spark, folder):
-    private = _private(spark, folder)
-    return rounded(reports.noise_compare(private, lsh.frequencies(_pairs(spark, folder))), "noisy_frequency", "noise")
+    pairs = written(_pairs(spark, folder), "pairs")
+    private = lsh.private_pairs(pairs, _noisy(pairs), CONFIG.dp_min_noisy_count)
+    return rounded(reports.noise_compare(private, lsh.frequencies(pairs)), "noisy_frequency", "noise")
 
 
 @query(_NOISY + """, g as (select business_id, count(*) as bug_pair_count, avg(review_stars) as a, avg(similar_review_stars) as b, avg(approx_jaccard) as c, avg(abs(review_stars - similar_review_stars)) as d, max(noisy_frequency) as e, avg(case when review_stars <= 3 or similar_review_stars <= 3 then 1.0 else 0.0 end) as f from dp group by 1),
@@ -391,6 +463,13 @@ def top_businesses(spark, folder):
     return reports.ranked_by(table(spark, folder, "dup_lsh_raw"), "business_id", 5, "n_pairs")
 
 
+@query("select business_id, count(*) as bug_pair_count, round(avg(approx_jaccard), 6) as avg_jaccard, round(avg(abs(review_stars - similar_review_stars)), 6) as avg_star_gap from dup_lsh_raw group by 1 order by 2 desc, 1 limit 10")
+def top_bug_clusters(spark, folder):
+    """The ten businesses of the most pairs, of the summary per business."""
+    summary = lsh.bug_summary(table(spark, folder, "dup_lsh_raw").withColumn("noisy_frequency", F.lit(0.0)), CONFIG.bug_max_star)
+    return rounded(reports.top_rows(summary, "bug_pair_count", ["business_id"], 10).select("business_id", "bug_pair_count", "avg_jaccard", "avg_star_gap"), "avg_jaccard", "avg_star_gap")
+
+
 @query("select review_id, similar_review_id, approx_jaccard from dup_lsh_raw order by approx_jaccard desc, review_id, similar_review_id limit 1")
 def top_pair(spark, folder):
     rows = table(spark, folder, "dup_lsh_raw").select("review_id", "similar_review_id", "approx_jaccard")
@@ -436,6 +515,37 @@ def latest_per_group(spark, folder):
     return reports.latest(rows, "ts", ["event_type"]).select("event_type", "value", "ts")
 
 
+@query("select * from fm_distinct_users order by window_start desc limit 1")
+def latest_overall(spark, folder):
+    return reports.latest(table(spark, folder, "fm_distinct_users"), "window_start")
+
+
+@query(_BATCHES + ", s as (select window_start, p95_latency as x from u) select window_start, case when x < 1 then printf('%.2f ms', x * 1000) when x < 60 then printf('%.2f s', x) when x < 3600 then printf('%.2f min', x / 60) else printf('%.2f h', x / 3600) end as p95_shown from s")
+def latency_units(spark, folder):
+    return _rollup(spark, folder).select("window_start", reports.auto_unit(F.col("p95_latency")).alias("p95_shown"))
+
+
+@query("select doc_id, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') as created, substr(trim(text), 1, 160) as snippet from documents")
+def document_snippets(spark, folder):
+    rows = table(spark, folder, "documents")
+    return rows.select("doc_id", reports.iso_time(F.col("created_at")).alias("created"), reports.snippet(F.col("text")).alias("snippet"))
+
+
+@query("select review_id, user_id, business_id, stars, event_time from dup_bloom union all select review_id, user_id, business_id, stars, event_time from reservoir_samples")
+def flagged_and_sampled(spark, folder):
+    """One read of several stored tables."""
+    return read_many(spark, [f"{folder}/{n}.parquet" for n in ("dup_bloom", "reservoir_samples")], ["review_id", "user_id", "business_id", "stars", "event_time"])
+
+
+@query("select review_id, user_id, business_id, stars, text, strftime(event_time, '%Y-%m-%dT%H:%M:%SZ') as event_time from bronze_reviews")
+def json_lines_again(spark, folder):
+    """Reviews written as JSON lines and read again."""
+    path = new_path(spark, "lines")
+    rows = reviews(spark, folder).select("review_id", "user_id", "business_id", "stars", "text", reports.iso_time(F.col("event_time")).alias("event_time"))
+    write_json_lines(rows, path)
+    return json_lines(spark, path, strict=True).drop("date")
+
+
 @query("select distinct window_start from metrics_1m order by 1 desc limit 50")
 def last_windows(spark, folder):
     return reports.last_windows(table(spark, folder, "metrics_1m"))
@@ -449,7 +559,7 @@ def tail_windows(spark, folder):
 @query("select review_id, window_start, count(*) as n_repeats from (select review_id, date_trunc('minute', event_time)::timestamp as window_start, row_number() over (partition by review_id, date_trunc('minute', event_time) order by event_time, ingest_time) as r from bronze_reviews where review_id is not null) where r > 1 group by 1, 2")
 def repeats_within_minute(spark, folder):
     rows = reviews(spark, folder).withColumn("window_start", F.date_trunc("minute", "event_time").cast("timestamp_ntz"))
-    return reports.repeats_within(rows).groupBy("review_id", "window_start").agg(F.count(F.lit(1)).alias("n_repeats"))
+    return reports.repeats_within(rows)
 
 
 @query("""with o as (select window_start, sum(n_reviews)::bigint as stored from metrics_1m group by 1), n as (select date_trunc('minute', event_time)::timestamp as window_start, count(*) as now from bronze_reviews group by 1)

@@ -26,7 +26,7 @@ def build_session(app: str = "tributary", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
         "spark.ui.showConsoleProgress": "false",
     }
     settings |= {k.replace("_", "."): v for k, v in conf.items()}
@@ -38,6 +38,15 @@ def build_session(app: str = "tributary", master: str | None = None, **conf: str
     return spark
 
 
+#: The state store that processors with several state variables need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_states(spark: SparkSession) -> None:
+    """Let streams that start from now on use STATE_STORE, in sessions that weren't built here too."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
 def is_local(spark: SparkSession) -> bool:
     """Whether driver and executors are one process."""
     master = spark.sparkContext.master
