@@ -40,7 +40,7 @@ def test_streams_equal_batches(spark, make_reviews, tmp_path):
     assert read("gold_dup_rate_1m").agg(F.sum("total"), F.sum("dup_count")).first() == (80, 80 - keys)
     assert read("gold_dgim_highstar").where("estimate > 0 and exact > 0 and abs(estimate - exact) * 2 <= exact").count() >= 1
     assert read("performance_metrics").agg(F.sum("total_events")).first()[0] == 81
-    assert read("fm_distinct_users").count() == 1
+    assert read("fm_distinct_users").count() == 2  # 10:05 and 10:10
     report_accuracy(spark, root, segments)
     report = read("accuracy_bloom_summary").first()
     assert (report.data_source, report.avg_recall, report.avg_precision) == ("all", 1.0, 1.0)
