@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from tributary.functions.text import dup_key
 from tributary.llm import queries
 from tributary.llm.abuse import AbuseScores, Levenshtein, Reader, Trie, fit
-from tributary.llm.blocks import block_pairs
 from tributary.llm.bpe import TOKENIZERS, Transducer, Utf8Stream, decode_corpus, encode_corpus, read_ranks
 from tributary.llm.components import components
-from tributary.llm.distinct import DistinctRuns, decode, encode, union
+from tributary.llm.distinct import DistinctRuns, RunStore, decode, encode, union
 from tributary.llm.formats import FIELDS, FormatCopies, payload_records
 from tributary.llm.leaks import LeakSearch, align, align_all
 from tributary.llm.neardup import NearDuplicates, prob_minhash
 from tributary.llm.reservoir import WindowReservoir, draw
 from tributary.llm.seen import GolombSet, SeenKeys, SetStack
+from tributary.operators.blocks import block_pairs
 
 T = datetime(2020, 1, 1, 10)
 
@@ -124,11 +124,27 @@ def test_runs_merge(spark, make_reviews):
 
 
 def test_long_runs_are_cut(spark):
-    df = spark.range(300_000).selectExpr("1 g", "id u")
-    runs = DistinctRuns.build(df, {"g": F.col("g")}, "u", shard_bits=0)
-    assert runs.runs.count() == 5
-    both = DistinctRuns(runs.runs.union(DistinctRuns.build(spark.range(250_000, 400_000).selectExpr("1 g", "id u"), {"g": F.col("g")}, "u", shard_bits=0).runs), ["g"])
-    assert both.regroup(None, ["g"]).counts().first().distinct_users == 400_000
+    """Groups beyond SHARD hashes are cut into shards, when they are built and when smaller ones are merged to one."""
+    build = lambda a, b: DistinctRuns.build(spark.range(a, b).selectExpr("id % 2 g", "id u"), {"g": F.col("g")}, "u")
+    first = build(0, 600_000)
+    assert first.runs.select("shard").distinct().count() == 4 and first.runs.agg(F.max("n")).first()[0] <= 65_536
+    both = DistinctRuns(first.runs.union(build(500_000, 700_000).runs), ["g"])
+    assert sorted(r.distinct_users for r in both.regroup(None, ["g"]).counts().collect()) == [350_000, 350_000]
+    one = both.regroup(spark.createDataFrame([(0, "x"), (1, "x")], "g long, c string"), ["c"])
+    assert one.runs.select("shard").distinct().count() == 8 and one.counts().first().distinct_users == 700_000
+
+
+def test_runs_are_stored(spark, make_reviews, tmp_path):
+    by, path, rng = {"business_id": F.col("business_id")}, f"file://{tmp_path}/runs", random.Random(3)
+    rows = [{"user_id": f"u{rng.randrange(90)}", "business_id": rng.choice(["a", "b", None])} for _ in range(400)]
+    for k in range(4):
+        for _ in range(2 if k in (0, 3) else 1):
+            RunStore(spark, by, "user_id", path).add(make_reviews(rows[k * 100 : k * 100 + 100]), k)
+    store = RunStore(spark, by, "user_id", path)
+    assert sorted(b for t in store.state["tables"] for b in t["batches"]) == ["0", "1", "2", "3"] and len(store.state["tables"]) < 4
+    assert sorted(t["name"] for t in store.state["tables"]) == sorted(p.name for p in (tmp_path / "runs").iterdir() if p.name != "manifest")
+    got = {r.business_id: r.distinct_users for r in store.runs().regroup(None, ["business_id"]).counts().collect()}
+    assert got == {b: len({r["user_id"] for r in rows if r["business_id"] == b}) for b in ("a", "b", None)}
 
 
 # --- 3

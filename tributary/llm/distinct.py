@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.session import ship
+from tributary.session import new_path, ship, tasks, written
+from tributary.stored import Manifest
 
 #: Hashes in one run at most.
 RUN = 65_536
@@ -147,13 +150,59 @@ def _builder(by: list[str], schema: pa.Schema, merge: bool):
     return work
 
 
+def _splitter(by: list[str], schema: pa.Schema):
+    """Runs to their parts in the finer shards that their group wants: the hash's top ``want`` bits."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            want = batch.column("want").to_numpy()
+            fine = np.flatnonzero(want > 0)
+            if not len(fine):
+                yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in schema], schema=schema)
+                continue
+            coarse = pa.array(np.flatnonzero(want == 0))
+            yield pa.RecordBatch.from_arrays([batch.column(f.name).take(coarse) for f in schema], schema=schema)
+            part = batch.take(pa.array(fine))
+            rows, blobs = [], part.column("run").to_pylist()
+            for i, (bits, blob) in enumerate(zip(part.column("want").to_pylist(), blobs)):
+                values = decode(blob)
+                shards = (values >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(values)]
+                rows += [(i, int(shards[a]), int(values[a]) - 2**63, encode(values[a:b])) for a, b in zip(cuts, cuts[1:])]
+            source = pa.array([r[0] for r in rows])
+            own = {"shard": pa.array([r[1] for r in rows], pa.int32()), "first": pa.array([r[2] for r in rows], pa.int64()), "run": pa.array([r[3] for r in rows], pa.binary())}
+            yield pa.RecordBatch.from_arrays([own[f.name] if f.name in own else part.column(f.name).take(source) for f in schema], schema=schema)
+
+    return work
+
+
+#: Hashes of one group that one task sorts or merges; larger groups are cut into shards.
+SHARD = 1 << 17
+
+
+def _wanted(counted: DataFrame, by: list[str]) -> DataFrame:
+    """(by, want): the bits of the shards of groups of (by, n) that hold more than SHARD hashes. Such groups are few: at most the rows over SHARD."""
+    large = counted.where(F.col("n") > SHARD)
+    return large.select(*by, F.ceil(F.log2(F.col("n") / F.lit(SHARD))).cast("int").alias("want"))
+
+
+def _with_bits(rows: DataFrame, counted: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with ``want``, 0 where a group is small; null groups are groups."""
+    wanted = _wanted(counted, by)
+    if wanted.isEmpty():
+        return rows.withColumn("want", F.lit(0))
+    named = wanted.select(*[F.col(c).alias(f"_{c}") for c in by], "want")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return rows.join(named, same, "left").drop(*[f"_{c}" for c in by]).withColumn("want", F.coalesce("want", F.lit(0)))
+
+
 class DistinctRuns:
     """Mergeable distinct counts of ``id`` per group.
 
     A run is a row (group columns, shard, first, n, run): at most RUN sorted 64-bit hashes
-    of one shard, the shard being the hash's top ``shard_bits``. Shards of a group are
-    disjoint, so counts add up over shards, and a group of any size is spread over
-    2 ** shard_bits tasks. Identifiers are made distinct with map-side combining before
+    of one shard. Groups of up to SHARD hashes are one shard, larger ones are cut by as many of the hash's top bits as
+    bring them below it, so a group of any size is spread over tasks. Shards are
+    disjoint, so counts add up over shards. Identifiers are made distinct with map-side combining before
     the shuffle. Runs of different days, machines or groups are merged by k-way union in
     ``regroup``; counts of merged runs are counts of the union.
 
@@ -175,25 +224,34 @@ class DistinctRuns:
         return ddl, pa.schema([*to_arrow_schema(kept), ("shard", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("run", pa.binary())])
 
     @classmethod
-    def build(cls, df: DataFrame, by: dict[str, Column], id: str, shard_bits: int = 3) -> DistinctRuns:
+    def build(cls, df: DataFrame, by: dict[str, Column], id: str) -> DistinctRuns:
         """Runs of ``df`` per the columns ``by`` gives names to."""
         ship(df.sparkSession)
         names = list(by)
+        sign = F.lit(-(2**63)).cast("long")
         # the sign bit is flipped so that signed order is the order of the unsigned hashes
-        h = F.xxhash64(id).bitwiseXOR(F.lit(-(2**63)).cast("long"))
-        rows = df.where(F.col(id).isNotNull()).select(*[c.alias(n) for n, c in by.items()], h.alias("h")).distinct()
-        top = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63)).cast("long")), 64 - shard_bits).cast("int") if shard_bits else F.lit(0)
-        rows = rows.withColumn("shard", top)
-        ordered = rows.repartition(*names, "shard").sortWithinPartitions(*names, "shard", "h")
+        h = F.xxhash64(id).bitwiseXOR(sign)
+        rows = written(df.where(F.col(id).isNotNull()).select(*[c.alias(n) for n, c in by.items()], h.alias("h")).distinct(), "hashes")
+        rows = _with_bits(rows, rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), names)
+        # a shift by 64 would be one by 0
+        shard = F.when(F.col("want") > 0, F.call_function("shiftrightunsigned", F.col("h").bitwiseXOR(sign), F.lit(64) - F.col("want"))).otherwise(F.lit(0)).cast("int").alias("shard")
+        ordered = rows.select(*names, shard, "h").repartition(tasks(df.sparkSession), *names, "shard").sortWithinPartitions(*names, "shard", "h")
         ddl, schema = cls._schema(rows, names)
         return cls(ordered.mapInArrow(_builder(names, schema, False), ddl), names)
 
     def regroup(self, groups: DataFrame | None, by: list[str]) -> DistinctRuns:
-        """Runs of the unions of groups: per fewer of the columns, or per ``by`` of ``groups``, which are joined on the columns they share."""
+        """Runs of the unions of groups: per fewer of the columns, or per ``by`` of ``groups``, which are joined on the columns they share.
+
+        Runs that lie across the shards of a larger group are cut before the shuffle.
+        """
         joined = self.runs if groups is None else self.runs.join(groups, [c for c in groups.columns if c in self.by])
-        rows = joined.select(*by, "shard", "first", "run")
-        ordered = rows.repartition(*by, "shard").sortWithinPartitions(*by, "shard", "first")
+        rows = joined.select(*by, "shard", "first", "n", "run")
         ddl, schema = self._schema(rows, by)
+        rows = _with_bits(rows.drop("shard").withColumn("shard", F.lit(0)), rows.groupBy(*by).agg(F.sum("n").alias("n")), by)
+        cut = pa.schema([f for f in schema if f.name != "n"])
+        kinds = ", ".join(p for p in ddl.split(", ") if p != "n long")
+        rows = rows.mapInArrow(_splitter(by, cut), kinds)
+        ordered = rows.repartition(tasks(rows.sparkSession), *by, "shard").sortWithinPartitions(*by, "shard", "first")
         return DistinctRuns(ordered.mapInArrow(_builder(by, schema, True), ddl), by)
 
     def counts(self, name: str = "distinct_users") -> DataFrame:
@@ -201,3 +259,47 @@ class DistinctRuns:
         n = F.col(name).cast("double")
         collisions = n * (n - 1) / F.lit(2.0**65)
         return self.runs.groupBy(*self.by).agg(F.sum("n").alias(name)).withColumns({"expected_collisions": collisions, "relative_error": collisions / n})
+
+
+class RunStore:
+    """Runs kept under ``path``: each batch adds a table of runs of its own, and any grouping of all batches is merged from them.
+
+    A table is never changed. Which ones count stands in a manifest that is replaced atomically, so a store opened again on
+    its ``path`` has all committed batches. A batch that is added again under its ``batch_id`` replaces itself; as unions ignore
+    repeats, it would do no harm anyway. Tables are merged to one when there is another of like size (counted in hashes), so a hash is
+    rewritten a logarithmic number of times. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, by: dict[str, Column], id: str, path: str | None = None):
+        self.spark, self.by, self.id = spark, by, id
+        self.manifest = Manifest(spark, path or new_path(spark, "runs"))
+        self.state = self.manifest.read() or {"schema": "", "tables": []}
+
+    def add(self, batch: DataFrame, batch_id: int | str) -> None:
+        """Code the batch's identifiers to runs and keep them."""
+        made, before = self._keep(DistinctRuns.build(batch, self.by, self.id)), self.state["tables"]
+        kept = [t for t in before if t["batches"] != [str(batch_id)]]
+        kept.append(made | {"batches": [str(batch_id)]})
+        gone = {t["name"] for t in before} - {t["name"] for t in kept}
+        while len(kept) > 2 and kept[-3]["n"] < 2 * kept[-2]["n"]:
+            # the newest table stays as it is, so that its batch can be replaced
+            a, b = kept[-3], kept[-2]
+            merged = self._keep(self._runs([a["name"], b["name"]]).regroup(None, list(self.by)))
+            kept[-3:-1] = [merged | {"batches": [*a["batches"], *b["batches"]]}]
+            gone |= {a["name"], b["name"]}
+        self.state = self.state | {"tables": kept}
+        self.manifest.commit(self.state)
+        self.manifest.drop(sorted(gone))
+
+    def _keep(self, made: DistinctRuns) -> dict:
+        name = self.manifest.new_table("runs")
+        self.state["schema"] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.runs.schema)
+        made.runs.write.option("compression", "zstd").parquet(self.manifest.at(name))
+        return {"name": name, "n": self._runs([name]).runs.agg(F.sum("n")).first()[0] or 0}
+
+    def _runs(self, names: list[str]) -> DistinctRuns:
+        return DistinctRuns(self.spark.read.schema(self.state["schema"]).parquet(*map(self.manifest.at, names)), list(self.by))
+
+    def runs(self) -> DistinctRuns:
+        """All batches' runs, of different batches unmerged: ``regroup`` before counting. Add a batch first."""
+        return self._runs([t["name"] for t in self.state["tables"]])

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.text import dup_key
 from tributary.llm.abuse import AbuseScores
 from tributary.llm.bpe import decode_corpus, encode_corpus
-from tributary.llm.distinct import DistinctRuns
+from tributary.llm.distinct import DistinctRuns, RunStore
 from tributary.llm.formats import FIELDS, FormatCopies, payload_records
 from tributary.llm.leaks import RUN, LeakSearch
 from tributary.llm.neardup import NearDuplicates
 from tributary.llm.reservoir import WindowReservoir
 from tributary.llm.seen import SeenKeys
-from tributary.session import table
+from tributary.operators.idindex import arrival_slices
+from tributary.session import table, written
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,14 +32,35 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("review_id"), "group_id", "group_size")
 
 
-def _users(spark: SparkSession, folder: str) -> DistinctRuns:
-    """Runs of users per day of event time and business, from which the coarser counts are merged."""
-    by = {"day": F.to_date("event_time"), "business_id": F.col("business_id")}
-    return DistinctRuns.build(table(spark, folder, "bronze_reviews"), by, "user_id")
+def _users(spark: SparkSession, folder: str, batches: int = 3) -> DistinctRuns:
+    """Stored runs of users per day of event time and business, of arrivals in some batches, merged per day and business."""
+    rows = table(spark, folder, "bronze_reviews").select("user_id", "business_id", "event_time", "ingest_time")
+    store = RunStore(spark, {"day": F.to_date("event_time"), "business_id": F.col("business_id")}, "user_id")
+    for k, part in enumerate(arrival_slices(rows, "ingest_time", batches)):
+        store.add(part, k)
+    return DistinctRuns(written(store.runs().regroup(None, ["day", "business_id"]).runs, "users"), ["day", "business_id"])
+
+
+def _sources(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, business_id): the businesses that a source's documents are about."""
+    return table(spark, folder, "documents").select("source", "business_id").dropna().distinct()
+
+
+def p2_users(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct users per day and business, per day, per business, and of combinations of businesses: all those that a source's documents are about."""
+    users = _users(spark, folder)
+    whole = "day date, business_id string, source string"
+    made = {"day and business": users, "day": users.regroup(None, ["day"]), "business": users.regroup(None, ["business_id"]), "source": users.regroup(_sources(spark, folder), ["source"])}
+    parts = []
+    for kind, runs in made.items():
+        counted = runs.counts()
+        groups = [F.col(c).alias(c) if c in runs.by else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in whole.split(", "))]
+        parts.append(counted.select(F.lit(kind).alias("per"), *groups, "distinct_users", "expected_collisions", "relative_error"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def p2_daily_users(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct users per day, merged from the runs per day and business."""
+    """Distinct users per day, merged from the stored runs per day and business."""
     return _users(spark, folder).regroup(None, ["day"]).counts()
 
 
@@ -47,14 +71,13 @@ def p2_business_users(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_source_users(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct users of combinations of businesses: of all those that a source's documents are about."""
-    groups = table(spark, folder, "documents").select("source", "business_id").dropna().distinct()
-    return _users(spark, folder).regroup(groups, ["source"]).counts()
+    return _users(spark, folder).regroup(_sources(spark, folder), ["source"]).counts()
 
 
 def p2_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct users per ten seconds of ingest time beside the old estimates."""
     start = (F.floor(F.unix_micros(F.col("ingest_time").cast("timestamp")) / 10_000_000) * 10).cast("long")
-    now = DistinctRuns.build(table(spark, folder, "bronze_reviews"), {"w": start}, "user_id", shard_bits=0).counts()
+    now = DistinctRuns.build(table(spark, folder, "bronze_reviews"), {"w": start}, "user_id").counts()
     now = now.select(F.timestamp_seconds("w").cast("timestamp_ntz").alias("window_start"), "distinct_users")
     old = table(spark, folder, "fm_distinct_users").select("window_start", F.col("raw_distinct_users_estimate").alias("old_estimate"))
     both = now.join(old, "window_start", "left")
@@ -151,7 +174,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return _abuse(spark, folder).rates()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_daily_users, p2_business_users, p2_source_users, p2_windows, p3_samples, p3_fill, p5_found, p5_copies, p7_found, p7_rates, p8_ids, p8_roundtrip, p9_found, p9_items, p9_scores, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_users, p2_daily_users, p2_business_users, p2_source_users, p2_windows, p3_samples, p3_fill, p5_found, p5_copies, p7_found, p7_rates, p8_ids, p8_roundtrip, p9_found, p9_items, p9_scores, p10_found, p10_scores, p10_rates)}
 
 _PAIRS = """
 with sets as (select distinct review_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3))) as t from bronze_reviews where review_id is not null and text is not null),
@@ -184,6 +207,12 @@ f as (select distinct doc_id, item_id from dg join ig using (g))
 
 ORACLE = {
     "p1_found": _PAIRS + "select x as review_id_a, y as review_id_b from scored where i / (s - i) >= 0.8",
+    "p2_users": f"""with u as (select distinct event_time::date as day, business_id, user_id from bronze_reviews),
+c as (select 'day and business' as per, day, business_id, null::varchar as source, count(distinct user_id) as n from u group by day, business_id
+union all select 'day', day, null, null, count(distinct user_id) from u group by day
+union all select 'business', null, business_id, null, count(distinct user_id) from u group by business_id
+union all select 'source', null, null, source, count(distinct user_id) from u join (select distinct source, business_id from documents where source is not null and business_id is not null) using (business_id) group by source)
+select per, day, business_id, source, {_COUNTED} from c where n > 0""",
     "p2_daily_users": f"select day, {_COUNTED} from (select event_time::date as day, count(distinct user_id) as n from bronze_reviews group by 1)",
     "p2_business_users": f"select business_id, {_COUNTED} from (select business_id, count(distinct user_id) as n from bronze_reviews group by 1)",
     "p2_source_users": f"select source, {_COUNTED} from (select source, count(distinct user_id) as n from (select distinct source, business_id from documents where source is not null and business_id is not null) join bronze_reviews using (business_id) group by 1)",
