@@ -213,11 +213,20 @@ def test_golomb_sets():
         v = np.unique(rng.integers(0, span, n, dtype=np.uint64))
         g, probes = GolombSet(v, span), np.concatenate([rng.integers(0, span, 2000, dtype=np.uint64), v])
         assert np.array_equal(g.values(), v) and np.array_equal(g.contains(probes), np.isin(probes, v))
-    stack, every = SetStack(1 << 30), np.unique(rng.integers(0, 1 << 30, 20_000, dtype=np.uint64))
-    for part in np.array_split(rng.permutation(every), 20):
-        stack.add(part)
-    assert stack.contains(every).all() and stack.n() == len(every) and len(stack.sets) < 8
-    assert sum(s.size() for s in stack.sets) < 20_000 * 3.2
+    for n in (20_000, 400_000):
+        stack, every = SetStack(1 << 30), np.unique(rng.integers(0, 1 << 30, n, dtype=np.uint64))
+        held = []
+        for part in np.array_split(rng.permutation(every), 20):
+            for piece in np.array_split(np.sort(part), 3):
+                stack.add(piece)
+            assert not stack.contains(part).all()
+            stack.close()
+            held.append(part)
+            assert stack.contains(part).all() and stack.contains(held[0]).all()
+        assert stack.n() == len(every) and len(stack.sets) < 8 and len(stack.plain) < 4096
+        foreign = np.setdiff1d(rng.integers(0, 1 << 30, 5000, dtype=np.uint64), every)
+        assert not stack.contains(foreign).any()
+        assert stack.size() < n * (3.2 if n < 100_000 else 1.9)
 
 
 def test_seen_keys(make_reviews):
@@ -234,6 +243,7 @@ def test_seen_keys(make_reviews):
     seen = SeenKeys(df, dup_key(F.col("user_id"), F.col("business_id"), F.col("text")), fp_bits=3)
     assert {r.id for r in seen.found().collect()} == want
     rates = seen.rates().collect()
+    assert want <= {r.id for r in seen.answers().collect()}
     assert sum(r.n_rows for r in rates) == 402 and all(0 <= (r.audited_fp_rate or 0) <= 1 for r in rates)
     assert SeenKeys(make_reviews([]), F.col("text")).found().count() == 0
 

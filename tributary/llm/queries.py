@@ -110,15 +110,31 @@ def p5_copies(spark: SparkSession, folder: str) -> DataFrame:
     return _records(spark, folder).counts().select("review_id", "copies")
 
 
+def p5_collisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys that different records share: none is expected."""
+    return _records(spark, folder).collisions().select("key")
+
+
 def _seen(spark: SparkSession, folder: str) -> SeenKeys:
     return SeenKeys(table(spark, folder, "bronze_reviews"), dup_key(F.col("user_id"), F.col("business_id"), F.col("text")))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Reviews whose key came before."""
+    """Reviews whose key came before: the sets' positives, confirmed by an exact join of their digests."""
     return _seen(spark, folder).found().select(F.col("id").alias("review_id"))
 
 
+def p7_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by the sets alone: no review is missed, and one new key in some sixteen thousand is taken for an old one."""
+    return _seen(spark, folder).answers().select(F.col("id").alias("review_id"))
+
+
+def p7_slices(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, keys, and keys that came before, of each slice: the rates' true positives."""
+    rates = _seen(spark, folder).rates()
+    return rates.select("slice", "n_rows", "n_keys", (F.col("n_positive") - F.col("n_false_positive")).alias("n_seen"))
+
+
 def p7_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Theoretical and audited rates of wrong answers per slice of arrival time."""
     return _seen(spark, folder).rates()
@@ -174,7 +190,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return _abuse(spark, folder).rates()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_users, p2_daily_users, p2_business_users, p2_source_users, p2_windows, p3_samples, p3_fill, p5_found, p5_copies, p7_found, p7_rates, p8_ids, p8_roundtrip, p9_found, p9_items, p9_scores, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_users, p2_daily_users, p2_business_users, p2_source_users, p2_windows, p3_samples, p3_fill, p5_found, p5_copies, p5_collisions, p7_found, p7_answers, p7_slices, p7_rates, p8_ids, p8_roundtrip, p9_found, p9_items, p9_scores, p10_found, p10_scores, p10_rates)}
 
 _PAIRS = """
 with sets as (select distinct review_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3))) as t from bronze_reviews where review_id is not null and text is not null),
@@ -223,6 +239,12 @@ select per, day, business_id, source, {_COUNTED} from c where n > 0""",
     "p7_found": r"""
 with k as (select review_id, row_number() over (partition by user_id || '||' || business_id || '||' || trim(regexp_replace(lower(coalesce(text, '')), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g')) order by ingest_time nulls first, review_id nulls first) as r from bronze_reviews)
 select distinct review_id from k where r > 1 and review_id is not null""",
+    "p5_collisions": _RECORDS + "select md5(u || '|' || b || '|' || t) as key from k group by 1 having count(distinct u || '|' || b || '|' || t) > 1",
+    "p7_slices": r"""
+with w as (select min(epoch_us(ingest_time)) as low, (max(epoch_us(ingest_time)) - min(epoch_us(ingest_time)) + 1) as span, least(4096, greatest(64, count(*) // 65536)) as c from bronze_reviews),
+k as (select user_id || '||' || business_id || '||' || trim(regexp_replace(lower(coalesce(text, '')), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g')) as k, case when span = 1 then 0 else coalesce((epoch_us(ingest_time) - low) // ((span + c - 1) // c), 0) end as slice from bronze_reviews, w),
+f as (select k, slice, count(*) as n, min(slice) over (partition by k) as born from k group by k, slice)
+select slice::int as slice, sum(n)::bigint as n_rows, count(*) as n_keys, count(*) filter (born < slice) as n_seen from f group by 1""",
     "p8_roundtrip": "select doc_id, true as same from documents",
     "p9_found": _LEAKS + "select doc_id, item_id from f",
     "p9_items": _LEAKS + "select item_id, count(*) as n_docs from f group by item_id",
