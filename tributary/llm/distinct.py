@@ -113,7 +113,8 @@ def _builder(by: list[str], schema: pa.Schema, merge: bool):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        key, open_ = None, []
+        limit = 4 * RUN
+        key, open_, held = None, [], 0
 
         def flush(values: np.ndarray) -> None:
             for s in range(0, len(values), RUN):
@@ -123,22 +124,28 @@ def _builder(by: list[str], schema: pa.Schema, merge: bool):
         for k, piece, same in _pieces(batches, names, ["first", "run"] if merge else ["h"]):
             if not same and open_:
                 flush(union(open_))
-                open_ = []
+                open_, held, limit = [], 0, 4 * RUN
             key = k
             if merge:
                 for first, blob in zip(piece[0].tolist(), piece[1]):
-                    if sum(map(len, open_)) >= 4 * RUN:
+                    if held >= limit:
                         values, edge = union(open_), np.uint64(first + 2**63)
                         cut = int(np.searchsorted(values, edge))
                         flush(values[:cut])
                         open_ = [values[cut:]] if cut < len(values) else []
+                        held = len(values) - cut
+                        # what overlaps the next run stays: look again when as much has come again
+                        limit = max(4 * RUN, 2 * held)
                     open_.append(decode(blob))
+                    held += len(open_[-1])
             else:
                 open_.append((piece[0] ^ np.int64(-(2**63))).view(np.uint64))
-                while sum(map(len, open_)) >= 2 * RUN:
+                held += len(open_[-1])
+                if held >= 2 * RUN:
                     values = np.concatenate(open_)
-                    flush(values[:RUN])
-                    open_ = [values[RUN:]]
+                    cut = held - held % RUN
+                    flush(values[:cut])
+                    open_, held = [values[cut:]], held - cut
             if len(rows) >= 2000:
                 yield _out(rows, schema)
                 rows = []

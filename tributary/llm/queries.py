@@ -50,7 +50,8 @@ def p2_users(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct users per day and business, per day, per business, and of combinations of businesses: all those that a source's documents are about."""
     users = _users(spark, folder)
     whole = "day date, business_id string, source string"
-    made = {"day and business": users, "day": users.regroup(None, ["day"]), "business": users.regroup(None, ["business_id"]), "source": users.regroup(_sources(spark, folder), ["source"])}
+    business = DistinctRuns(written(users.regroup(None, ["business_id"]).runs, "business"), ["business_id"])
+    made = {"day and business": users, "day": users.regroup(None, ["day"]), "business": business, "source": business.regroup(_sources(spark, folder), ["source"])}
     parts = []
     for kind, runs in made.items():
         counted = runs.counts()
@@ -71,7 +72,7 @@ def p2_business_users(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_source_users(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct users of combinations of businesses: of all those that a source's documents are about."""
-    return _users(spark, folder).regroup(_sources(spark, folder), ["source"]).counts()
+    return _users(spark, folder).regroup(None, ["business_id"]).regroup(_sources(spark, folder), ["source"]).counts()
 
 
 def p2_windows(spark: SparkSession, folder: str) -> DataFrame:
