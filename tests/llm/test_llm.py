@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -16,7 +17,7 @@ from tributary.llm.bpe import TOKENIZERS, Transducer, Utf8Stream, decode_corpus,
 from tributary.llm.components import components
 from tributary.llm.distinct import DistinctRuns, RunStore, decode, encode, union
 from tributary.llm.formats import FIELDS, FormatCopies, payload_records
-from tributary.llm.leaks import LeakSearch, align, align_all
+from tributary.llm.leaks import EDITED, LeakSearch, align, align_all
 from tributary.llm.neardup import NearDuplicates, prob_minhash
 from tributary.llm.reservoir import WindowReservoir, draw
 from tributary.llm.seen import GolombSet, SeenKeys, SetStack
@@ -303,8 +304,8 @@ def test_leaks_equal_brute_force(spark):
     want = {(d, i) for d, t in enumerate(docs) for i, x in enumerate(items) if runs(t, 12) & runs(x, 12)}
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("gram", F.lit(1))
     i = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    for sent in (1_000_000, 5):
-        got = LeakSearch(d, i, sent=sent).alignments().collect()
+    for bits in (29, 15):
+        got = LeakSearch(d, i, most_bits=bits).alignments().collect()
         assert {(r.doc_id, r.item_id) for r in got if r.run >= 12} == want
     assert {r.doc_id: r.score for r in got if r.item_id == 0}[82] == 1.0
     assert LeakSearch(d.limit(0), i).alignments().count() == 0 and LeakSearch(d, i.limit(0)).alignments().count() == 0
@@ -355,6 +356,27 @@ def test_edited_copies_are_scored(spark):
     assert LeakSearch(docs, items.limit(0)).alignments(edited=True).count() == LeakSearch(docs.limit(0), items).alignments(edited=True).count() == 0
 
 
+def test_recall_of_edited_copies(spark):
+    """A copy of each item among its document's other words, with words replaced at random or at regular places; foreign items are no case."""
+    rng, items = random.Random(13), [r.text for r in spark.read.parquet(f"{SMALL}/eval_items.parquet").orderBy("item_id").collect()]
+    words = [re.findall(r"[^\W_]+", t.lower()) for t in items]
+    every = sorted({w for t in words for w in t})
+    edits = {"one in ten": lambda i: rng.random() < 0.1, "two in ten": lambda i: rng.random() < 0.2, "three in ten": lambda i: rng.random() < 0.3, "every eighth": lambda i: i % 8 == 3, "every fifth": lambda i: i % 5 == 3}
+    rows, told = [], {}
+    for name, edit in edits.items():
+        for k, t in enumerate(words):
+            own = [rng.choice(every) if edit(i) else w for i, w in enumerate(t)]
+            around = [[rng.choice(every) for _ in range(60)] for _ in range(2)]
+            told[len(rows)] = (name, k)
+            rows.append((len(rows), " ".join([*around[0], *own, *around[1]])))
+    found = LeakSearch(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.alignments(edited=True).collect() if r.score >= EDITED}
+    recall = {name: sum((d, k) in got for d, (n, k) in told.items() if n == name) / len(items) for name in edits}
+    print(recall, len(got))
+    assert all(recall[n] >= 0.9 for n in ("one in ten", "two in ten", "every eighth")), recall
+    assert sum(told[d][1] == k for d, k in got) >= 0.98 * len(got)
+
+
 # --- 10
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -17,8 +18,12 @@ from tributary.session import semi, ship, spread, written
 WORD = re.compile(r"[^\W_]+")
 #: Words of a seed, and words in a row that count as a leak.
 GRAM, RUN = 5, 12
-#: Distinct n-grams of the items that are sent to every executor at most (8 bytes each).
-SENT = 1_000_000
+#: Share of a perfect score from which a document counts as holding an edited copy of the item: with three words of ten replaced some 0.55 is left.
+EDITED = 0.4
+#: Bits of the sieve that is sent to every executor: 2 to this power at most, 64 MB.
+MOST_BITS = 29
+#: Characters of all items that are sent to every executor at most; beyond that their texts are joined by shuffle.
+SENT = 5_000_000
 #: Words of documents that are aligned at once.
 AT_ONCE = 32_768
 
@@ -53,6 +58,15 @@ def grams(words: np.ndarray, n: int = GRAM) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sifted(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set in a bitmap of a power of two of bits."""
+    if not len(hashes):
+        return np.zeros(0, dtype=bool)
+    bits = len(known).bit_length() + 2
+    place = hashes.view(np.uint64) >> np.uint64(64 - bits)
+    return (known[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
 def align(item: np.ndarray, doc: np.ndarray, match: int = 2, mismatch: int = 1, gap: int = 1) -> tuple[int, int]:
     """(score, longest run): the best local alignment of two word sequences, and the most words in a row they share.
 
@@ -144,14 +158,13 @@ class LeakSearch:
 
     Null and empty texts, texts of fewer than five words and null ids take part in nothing. Items under
     RUN words can have a score but no run of RUN words. Rows that repeat an id count each; their best
-    alignment holds. Items' n-grams are sent to the executors when their number is
-    at most SENT, else joined by shuffle.
+    alignment holds. Documents' n-grams are sifted by a bitmap of the items' before anything is shuffled.
     """
 
-    def __init__(self, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", sent: int = SENT):
+    def __init__(self, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", sent: int = SENT, most_bits: int = MOST_BITS):
         self.spark = docs.sparkSession
         ship(self.spark)
-        self.sent = sent
+        self.sent, self.most_bits = sent, most_bits
         self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).dropna()
         self.items = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).dropna()
         self.kinds = [x.schema[c].dataType.simpleString() for x, c in ((self.docs, "doc_id"), (self.items, "item_id"))]
@@ -170,32 +183,40 @@ class LeakSearch:
 
         return written(self.items.mapInArrow(work, f"item_id {self.kinds[1]}, row long, pos int, gram long"), "item-grams")
 
+    def sieve(self, item_grams: DataFrame) -> np.ndarray:
+        """A bitmap of the items' n-grams, 64 bits to each and at most 2 ** MOST_BITS in all, so of a bounded size at any number of items.
+
+        A foreign n-gram passes with a probability of n-grams over bits, so more pass as items grow beyond the bound; what passes is joined exactly. The
+        bitmap is put together on executors in parts of 4 KB.
+        """
+        grams_ = item_grams.select("gram").distinct()
+        bits = min(self.most_bits, max(20, math.ceil(math.log2(64 * max(1, grams_.count())))))
+        # the functions number bits from 1
+        place = (F.shiftrightunsigned("gram", 64 - bits) + 1).alias("place")
+        parts = grams_.select(place).groupBy(F.expr("bitmap_bucket_number(place)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("map"))
+        out = np.zeros(2**bits // 8, dtype=np.uint8)
+        for r in parts.collect():  # at most 2 ** MOST_BITS bits
+            out[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(bytes(r.map), dtype=np.uint8)
+        return out
+
     def hits(self, item_grams: DataFrame) -> DataFrame:
-        """(doc_id, gram), distinct within a document: n-grams that a document shares with any item."""
-        distinct = item_grams.select("gram").distinct()
-        known = [r[0] for r in distinct.limit(self.sent + 1).collect()]
-        wanted = self.spark.sparkContext.broadcast(np.array(sorted(known), dtype=np.int64) if len(known) <= self.sent else None)
+        """(doc_id, gram), distinct within a document: n-grams that a document shares with any item, and a few more that passed the sieve."""
+        sent = self.spark.sparkContext.broadcast(self.sieve(item_grams))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = wanted.value
+            known = sent.value
             for batch in batches:
                 rows, out = [], []
                 for i, t in enumerate(batch.column(1).to_pylist()):
                     g = grams(word_hashes(t))
-                    if own is not None and len(g):
-                        at = np.minimum(np.searchsorted(own, g), len(own) - 1)
-                        g = g[own[at] == g] if len(own) else g[:0]
-                    g = np.unique(g)
+                    g = np.unique(g[sifted(g, known)])
                     if len(g):
                         rows.append(np.full(len(g), i))
                         out.append(g)
                 if out:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(out))], names=["doc_id", "gram"])
 
-        found = spread(self.docs).mapInArrow(work, f"doc_id {self.kinds[0]}, gram long")
-        if len(known) > self.sent:
-            found = found.join(distinct, "gram", "left_semi").select("doc_id", "gram")
-        return written(found, "hits")
+        return written(spread(self.docs).mapInArrow(work, f"doc_id {self.kinds[0]}, gram long"), "hits")
 
     def candidates(self) -> DataFrame:
         """(doc_id, item_id): pairs that share a seed."""
@@ -215,11 +236,11 @@ class LeakSearch:
     def alignments(self, edited: bool = False) -> DataFrame:
         """(doc_id, item_id, score, run): of each candidate pair the alignment's share of a perfect score, and the most words in a row.
 
-        ``edited``: of each pair that shares GRAM words in a row; without a shuffle of texts where the items hold at most five characters for each n-gram that may be sent.
+        ``edited``: of each pair that shares GRAM words in a row; without a shuffle of texts where the items hold at most SENT characters.
         """
         kinds = f"doc_id {self.kinds[0]}, item_id {self.kinds[1]}, score double, run int"
         chars = self.items.agg(F.sum(F.length("text"))).first()[0] or 0 if edited else 0
-        if edited and chars <= 5 * self.sent:
+        if edited and chars <= self.sent:
             return self.best(spread(self.docs).mapInArrow(self.scorer(), kinds))
         if edited:
             item_grams = self.item_grams()

@@ -12,7 +12,7 @@ from tributary.llm.abuse import AbuseScores
 from tributary.llm.bpe import decode_corpus, encode_corpus
 from tributary.llm.distinct import DistinctRuns, RunStore
 from tributary.llm.formats import FIELDS, FormatCopies, payload_records
-from tributary.llm.leaks import RUN, LeakSearch
+from tributary.llm.leaks import EDITED, RUN, LeakSearch
 from tributary.llm.neardup import NearDuplicates
 from tributary.llm.reservoir import WindowReservoir
 from tributary.llm.seen import SeenKeys
@@ -172,6 +172,11 @@ def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder, edited=True).select("doc_id", "item_id", F.round("score", 6).alias("score"), "run")
 
 
+def p9_edited(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold an item or most of it, edited or not: those whose alignment reaches EDITED of a perfect score."""
+    return _leaks(spark, folder, edited=True).where(F.col("score") >= EDITED).select("doc_id", "item_id", F.round("score", 6).alias("score"))
+
+
 def _abuse(spark: SparkSession, folder: str) -> AbuseScores:
     return AbuseScores(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
 
@@ -191,7 +196,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return _abuse(spark, folder).rates()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_users, p2_daily_users, p2_business_users, p2_source_users, p2_windows, p3_samples, p3_fill, p5_found, p5_copies, p5_collisions, p7_found, p7_answers, p7_slices, p7_rates, p8_ids, p8_roundtrip, p9_found, p9_items, p9_scores, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_users, p2_daily_users, p2_business_users, p2_source_users, p2_windows, p3_samples, p3_fill, p5_found, p5_copies, p5_collisions, p7_found, p7_answers, p7_slices, p7_rates, p8_ids, p8_roundtrip, p9_found, p9_items, p9_scores, p9_edited, p10_found, p10_scores, p10_rates)}
 
 _PAIRS = """
 with sets as (select distinct review_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3))) as t from bronze_reviews where review_id is not null and text is not null),
