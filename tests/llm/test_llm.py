@@ -402,6 +402,7 @@ def test_spellings():
     reader = Reader(["idiot", "moron", "dickhead", "fuck"], {"idioma"})
     for text in ("1d10t", "idi0t", "i.d.i.o.t", "i d i o t", "iiiidiot", "id​iot", "іdіоt", "IDIOT", "idoit"[:3] + "ot", "idiiot", "dikhead", "d*ckhead", "f**k"):
         assert any(f.startswith("t:") for w in reader.windows(f"you {text} there") for f in w), text
+    assert any(f.startswith("t:motherf") for w in Reader(["motherfuckingbastardsofhell"], set()).windows("you motherfukingbastardsofhell there") for f in w)
     assert reader.windows("el idioma") == [] and reader.windows("*** $5 !!") == []
 
 
@@ -419,6 +420,8 @@ def test_context_decides(spark):
     assert all(scores[i] > 0.5 for i in range(5)) and all(scores[i] < 0.5 for i in range(5, 10))
     assert scores[10] == scores[11] == 0 and scores[13] > 0.5
     assert {r.source for r in AbuseScores(docs, labels).rates().collect()} == {"s", None}
+    twice = docs.union(docs.where("doc_id < 50"))
+    assert AbuseScores(twice, labels, characters=3000).scores().count() == twice.count()
     assert AbuseScores(docs, labels.limit(0)).scores().count() == len(bad + good + texts)
     assert AbuseScores(docs.limit(0), labels).scores().count() == 0
 

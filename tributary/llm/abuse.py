@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.session import ship, spread
+from tributary.session import ship, spread, written
 
 # General terms of abuse, hate, threat and explicit sex, without accents, in four languages.
 # A term is a hint only; the words around it decide.
@@ -37,8 +37,8 @@ TOKEN = re.compile(r"[\w@$*!]+|[.?;:\n\"“”«»]")
 STRETCH = re.compile(r"(.)\1{2,}")
 #: Words to each side of a term that its window has.
 SIDE = 7
-#: Labelled documents that the classifier is fitted on at most, least hash of the id first.
-LABELLED = 20_000
+#: Labelled documents, and characters of them, that the classifier is fitted on at most, least hash of the id first.
+LABELLED, CHARACTERS = 20_000, 16_000_000
 BUCKETS = 1 << 18
 
 
@@ -167,6 +167,8 @@ class Reader:
 
     def __init__(self, terms: list[str], ordinary: set[str]):
         self.trie, self.terms, self.ordinary = Trie(terms), set(terms), ordinary
+        # a word that is longer by more than the edits allowed can't be within reach of any term
+        self.longest = max(map(len, terms), default=0)
         self.known: dict[str, str] = {}
 
     def canonical(self, token: str) -> str:
@@ -193,7 +195,7 @@ class Reader:
                 return "~" + form
             if form in self.ordinary:
                 return form
-        if not re.search(r"[a-z]", plain) or len(plain) > 24:
+        if not re.search(r"[a-z]", plain) or len(plain) > self.longest + 2:
             return word
         masked = plain.count("*")
         found = Levenshtein(plain, 0 if masked else edits_allowed(plain)).search(self.trie) if masked < len(plain) - 1 else None
@@ -313,12 +315,16 @@ class AbuseScores:
     Ids that repeat are scored each; labels of unknown or null ids are ignored.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", labelled: int = LABELLED):
+    def __init__(self, docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", labelled: int = LABELLED, characters: int = CHARACTERS):
         ship(docs.sparkSession)
         self.docs, self.id, self.text = docs, id, text
         judged = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.avg(label).alias("y")).where("y = 0 or y = 1")
         chosen = judged.orderBy(F.xxhash64("_id"), "_id").limit(labelled)
-        rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "_id").select("text", "y").limit(2 * labelled).toPandas()
+        own = docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "_id")
+        own = written(own.groupBy("_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("_id", F.xxhash64("_id").alias("_h"), "y", "text"), "labelled")
+        sizes = own.select("_h", F.length("text").alias("n")).toPandas().sort_values(["_h", "n"])
+        fits = int((sizes["n"].cumsum() <= characters).sum())
+        rows = (own if fits == len(sizes) else own.where(F.col("_h") < F.lit(int(sizes["_h"].iloc[fits])))).select("text", "y").toPandas()
         model = fit(rows["text"].tolist(), rows["y"].to_numpy(dtype=float))
         self.model = docs.sparkSession.sparkContext.broadcast(model)
 
