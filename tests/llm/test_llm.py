@@ -19,7 +19,7 @@ from tributary.llm.distinct import DistinctRuns, RunStore, decode, encode, union
 from tributary.llm.formats import FIELDS, FormatCopies, payload_records
 from tributary.llm.leaks import EDITED, LeakSearch, align, align_all
 from tributary.llm.neardup import NearDuplicates, prob_minhash
-from tributary.llm.reservoir import WindowReservoir, draw
+from tributary.llm.reservoir import ReservoirStore, WindowReservoir, draw, evict
 from tributary.llm.seen import GolombSet, SeenKeys, SetStack
 from tributary.operators.blocks import block_pairs
 
@@ -151,22 +151,42 @@ def test_runs_are_stored(spark, make_reviews, tmp_path):
 # --- 3
 
 
-def test_reservoir_is_uniform(spark):
-    rng, counts = np.random.default_rng(4), Counter()
-    for _ in range(3000):
-        kept = {}
-        for piece, ins, out in draw({"a": [3, 2], "b": [1, 0], "c": [2, 4]}, 4, rng):
-            for s in range(2):
-                kept = {k: v for k, v in kept.items()}
-                held = [k for k, v in kept.items() if v == s]
-                for k in rng.choice(len(held), out[s], replace=False) if out[s] else []:
-                    del kept[held[k]]
-                for i in range(ins[s]):
-                    kept[piece, s, i] = s
-        assert len(kept) == 4
-        counts.update(p for p, _, _ in kept)
-    for piece, n in (("a", 5), ("b", 1), ("c", 6)):
-        assert abs(counts[piece] / 3000 - 4 * n / 12) < 0.1
+def test_reservoir_is_uniform():
+    """Each record of windows that grow in several runs is drawn equally often: chi-square over 4000 draws, also given the slot."""
+    rng, k, runs = np.random.default_rng(4), 4, 4000
+    pieces = [{"a": [3, 2], "b": [1, 0]}, {"c": [2, 4]}, {"d": [0, 1], "e": [3, 3]}]
+    counts = Counter()
+    for _ in range(runs):
+        held, seen = [[], []], 0
+        for run in pieces:  # each goes on from what is stored
+            for piece, ins, out in draw(run, k, rng, seen, [len(h) for h in held]):
+                for s in range(2):
+                    evict(held[s], out[s], rng)
+                    chosen = rng.choice(run[piece][s], ins[s], replace=False)
+                    held[s] += [(piece, s, int(i)) for i in chosen]
+                seen += sum(run[piece])
+        assert len(held[0]) + len(held[1]) == k
+        counts.update(x for h in held for x in h)
+    total = sum(map(sum, (c for run in pieces for c in run.values())))
+    expected = runs * k / total
+    # a sample without replacement varies less than independent draws: the statistic over (1 - k / total) has total - 1 degrees
+    chi = sum((counts[x] - expected) ** 2 / expected for run in pieces for p, c in run.items() for s in range(2) for x in ((p, s, i) for i in range(c[s]))) / (1 - k / total)
+    assert len(counts) == total and chi < 45.0  # 19 degrees: one in two thousand
+
+
+def test_samples_are_stored(spark, make_reviews, tmp_path):
+    path, rng = f"file://{tmp_path}/samples", random.Random(5)
+    rows = [{"review_id": f"r{rng.randrange(150)}", "event_time": T + timedelta(minutes=rng.randrange(3), days=rng.randrange(2)), "ingest_time": T + timedelta(hours=i)} for i in range(180)]
+    for b in range(3):
+        for _ in range(1 + b % 2):
+            ReservoirStore(spark, path, k=10, slots=3).process(make_reviews(rows[b * 60 : b * 60 + 60]), b)
+    first = {}
+    for r in rows:
+        first.setdefault(r["review_id"], r["event_time"])
+    sizes, got = Counter(first.values()), ReservoirStore(spark, path, k=10, slots=3).sample().collect()
+    assert Counter(r.window_start for r in got) == {w: min(10, n) for w, n in sizes.items()}
+    assert all(first[r.id] == r.window_start and r.seen == sizes[r.window_start] for r in got) and len({r.id for r in got}) == len(got)
+    assert ReservoirStore(spark).sample().count() == 0
 
 
 def test_reservoir_samples(make_reviews):

@@ -14,7 +14,7 @@ from tributary.llm.distinct import DistinctRuns, RunStore
 from tributary.llm.formats import FIELDS, FormatCopies, payload_records
 from tributary.llm.leaks import EDITED, RUN, LeakSearch
 from tributary.llm.neardup import NearDuplicates
-from tributary.llm.reservoir import WindowReservoir
+from tributary.llm.reservoir import ReservoirStore, WindowReservoir
 from tributary.llm.seen import SeenKeys
 from tributary.operators.idindex import arrival_slices
 from tributary.session import table, written
@@ -96,6 +96,16 @@ def p3_fill(spark: SparkSession, folder: str) -> DataFrame:
     return p3_samples(spark, folder).groupBy("window_start").agg(F.count(F.lit(1)).alias("n_sampled"), F.count_distinct("review_id").alias("n_distinct"))
 
 
+def p3_stored_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """The same sizes from stored samples that three batches of arrivals were drawn into."""
+    store = ReservoirStore(spark)
+    rows = table(spark, folder, "bronze_reviews").select("review_id", "event_time", "ingest_time")
+    for k, part in enumerate(arrival_slices(rows, "ingest_time", 3)):
+        store.process(part, k)
+    drawn = store.sample().withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return drawn.groupBy("window_start").agg(F.count(F.lit(1)).alias("n_sampled"), F.count_distinct("id").alias("n_distinct"), F.max("seen").alias("n_seen"))
+
+
 def _records(spark: SparkSession, folder: str) -> FormatCopies:
     stored = table(spark, folder, "bronze_reviews").select(*FIELDS)
     return FormatCopies(stored.union(payload_records(table(spark, folder, "review_messages"))))
@@ -196,7 +206,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return _abuse(spark, folder).rates()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_users, p2_daily_users, p2_business_users, p2_source_users, p2_windows, p3_samples, p3_fill, p5_found, p5_copies, p5_collisions, p7_found, p7_answers, p7_slices, p7_rates, p8_ids, p8_roundtrip, p9_found, p9_items, p9_scores, p9_edited, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_users, p2_daily_users, p2_business_users, p2_source_users, p2_windows, p3_samples, p3_fill, p3_stored_fill, p5_found, p5_copies, p5_collisions, p7_found, p7_answers, p7_slices, p7_rates, p8_ids, p8_roundtrip, p9_found, p9_items, p9_scores, p9_edited, p10_found, p10_scores, p10_rates)}
 
 _PAIRS = """
 with sets as (select distinct review_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3))) as t from bronze_reviews where review_id is not null and text is not null),
@@ -255,3 +265,4 @@ select slice::int as slice, sum(n)::bigint as n_rows, count(*) as n_keys, count(
     "p9_found": _LEAKS + "select doc_id, item_id from f",
     "p9_items": _LEAKS + "select item_id, count(*) as n_docs from f group by item_id",
 }
+ORACLE["p3_stored_fill"] = ORACLE["p3_fill"].replace("as n_distinct from", "as n_distinct, count(*) as n_seen from")
