@@ -141,6 +141,12 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``written`` made and that nothing will read again."""
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, file)
+
+
 def spread(df: DataFrame, *keys) -> DataFrame:
     """``df`` over at least as many partitions as the cluster has cores.
 
