@@ -18,7 +18,7 @@ from tributary.llm.components import components
 from tributary.llm.distinct import DistinctRuns, RunStore, decode, encode, union
 from tributary.llm.formats import FIELDS, FormatCopies, payload_records
 from tributary.llm.leaks import EDITED, LeakSearch, align, align_all
-from tributary.llm.neardup import NearDuplicates, prob_minhash
+from tributary.llm.neardup import NearDuplicates, most_differing_bits, prob_minhash
 from tributary.llm.reservoir import ReservoirStore, WindowReservoir, draw, evict
 from tributary.llm.seen import GolombSet, SeenKeys, SetStack
 from tributary.operators.blocks import block_pairs
@@ -54,6 +54,14 @@ def test_prob_minhash_estimates_probability_jaccard():
     assert abs((plain[0] == plain[1]).mean() - 1 / 3) < 0.03
 
 
+def test_bits_keep_similar_pairs():
+    """Of pairs at the threshold the comparison of 64 bits drops fewer than one in ten thousand."""
+    rng, n = np.random.default_rng(2), 20_000
+    same = rng.random((n, 64)) < 0.8
+    differ = (~same & (rng.random((n, 64)) < 0.5)).sum(axis=1)
+    assert (differ > most_differing_bits(0.8)).mean() < 1e-4 and most_differing_bits(0.8) < 20
+
+
 def texts_like(rng, base, edits):
     words = base.split()
     for _ in range(edits):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators.blocks import block_pairs
 from tributary.llm.components import components
-from tributary.session import semi, ship, spread, written
+from tributary.session import discard, semi, ship, spread, written
 
 TOKEN = re.compile("[a-z0-9]+")
 #: Signature of BANDS x ROWS registers: at a similarity of 0.8 a pair meets in some band with
@@ -24,6 +24,7 @@ BANDS, ROWS, SEED = 20, 7, 20160101
 #: Bits of the hash of a band, and of the first part of a class's key. Chance meetings are compared and dropped
 #: like any others; among a billion classes they are half a million a band.
 HASH_BITS = 40
+MOST_TOKENS = (1 << 23) - 1
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,9 +95,13 @@ def bit_sketch(signatures: np.ndarray) -> np.ndarray:
 
 
 def most_differing_bits(threshold: float) -> int:
-    """Bits that pairs of ``threshold`` differ in at most, but for one in ten thousand (3.7 standard deviations)."""
+    """Bits that pairs of ``threshold`` differ in at most, but for fewer than one in a hundred thousand."""
     off = (1 - threshold) / 2
-    return math.ceil(64 * off + 3.7 * math.sqrt(64 * off * (1 - off)))
+    most, left = -1, 1.0
+    while left > 1e-5:
+        most += 1
+        left -= math.comb(64, most) * off**most * (1 - off) ** (64 - most)
+    return most
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, least: int, shortest: int, weighted: bool, step: int = 500) -> Iterator[pa.RecordBatch]:
@@ -173,24 +178,30 @@ class NearDuplicates:
         id_type = self.source.schema["id"].dataType.simpleString()
         sketch = lambda it: sketch_batches(it, bands, rows, least, shortest, weighted)
         sketched = spread(self.source).mapInArrow(sketch, f"id {id_type}, h long, k1 long, k2 long, n int, s long, bands array<long>")
-        #: A row for each row that takes part; (k1, k2) is its class, and equal classes have equal bands.
-        self.sketched = written(sketched, "sketch")
+        # a row for each row that takes part; (k1, k2) is its class, and equal classes have equal bands
+        sketched = written(sketched, "sketch")
+        self.rows = written(sketched.select("k1", "k2", "id", "h"), "members")
+        self.classes = written(sketched.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("bands").alias("bands"), F.min(F.struct("id", "h")).alias("rep")), "classes")
+        discard(sketched)
 
     def members(self) -> DataFrame:
         """(k1, k2, id), distinct."""
-        return self.sketched.select("k1", "k2", "id").distinct()
+        return self.rows.select("k1", "k2", "id").distinct()
 
     def class_links(self) -> DataFrame:
         """(a1, a2, b1, b2, similarity): similar classes of different token sets, each pair once."""
         kept = self.threshold
-        banded = self.sketched.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "k1", "n", "s")
-        met = block_pairs(banded, ["band"], "k1", ["n", "s"])
-        sized = F.least("n_a", "n_b") >= F.lit(kept) * F.greatest("n_a", "n_b")
-        near = met.where(sized & (F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) <= most_differing_bits(kept)))
-        candidates = written(near.select("k1_a", "k1_b").distinct(), "candidates")
+        # the number of tokens lies above the key's HASH_BITS, up to a bound that only loosens the comparison of sizes
+        packed = F.col("k1").bitwiseOR(F.shiftleft(F.least("n", F.lit(MOST_TOKENS)).cast("long"), HASH_BITS)).alias("kn")
+        banded = self.classes.select(F.explode("bands").alias("band"), packed, "s")
+        met = block_pairs(banded, ["band"], "kn", ["s"])
+        number = lambda c: F.shiftrightunsigned(c, HASH_BITS)
+        key = lambda c: F.col(c).bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias(f"k1_{c[-1]}")
+        sized = F.least(number("kn_a"), number("kn_b")) >= F.lit(kept) * F.greatest(number("kn_a"), number("kn_b"))
+        near = met.where(sized & (F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) <= most_differing_bits(kept))).select(key("kn_a"), key("kn_b"))
+        candidates = written(near.distinct(), "candidates")
         ends = candidates.select(F.explode(F.array("k1_a", "k1_b")).alias("k1")).distinct()
-        reps = self.sketched.groupBy("k1", "k2").agg(F.min(F.struct("id", "h")).alias("rep"))
-        wanted = written(reps.join(ends, "k1").select("k1", "k2", "rep.id", "rep.h"), "wanted")
+        wanted = written(self.classes.join(ends, "k1").select("k1", "k2", "rep.id", "rep.h"), "wanted")
         texts = semi(self.source, wanted, ["id", "h"]).dropDuplicates(["id", "h"]).join(wanted, ["id", "h"])
         sets = written(texts.select("k1", "k2", token_set(F.col("text"), self.shortest).alias("t")), "sets")
         a, b = (sets.select(*[F.col(c).alias(f"{c}_{x}") for c in sets.columns]) for x in "ab")
