@@ -266,3 +266,9 @@ select slice::int as slice, sum(n)::bigint as n_rows, count(*) as n_keys, count(
     "p9_items": _LEAKS + "select item_id, count(*) as n_docs from f group by item_id",
 }
 ORACLE["p3_stored_fill"] = ORACLE["p3_fill"].replace("as n_distinct from", "as n_distinct, count(*) as n_seen from")
+ORACLE["p1_groups"] = (
+    _PAIRS.replace("with sets", "with recursive sets")
+    + """, e as (select x, y from scored where i / (s - i) >= 0.8 union all select y, x from scored where i / (s - i) >= 0.8),
+reach as (select distinct x as id, x as root from e union select reach.id, e.y from reach join e on e.x = reach.root)
+select id as review_id, min(root) as group_id, count(*) as group_size from reach group by id"""
+)
