@@ -94,11 +94,6 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._tributary_shared
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/tributary-{name}-{uuid.uuid4().hex}"
-
-
 def file_system(spark: SparkSession, path: str):
     """(file system, path) of Hadoop for a path."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -112,28 +107,35 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    """Intermediate tables live as long as the application, as results may still be computed from them."""
+    """Intermediate tables live as long as the Python process, as results may still be computed from them; then they go, also if the session was stopped before."""
     paths = getattr(spark, "_tributary_written", None)
     if paths is None:
         paths = spark._tributary_written = []
+        jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
         def clean() -> None:
-            if spark.sparkContext._jsc is not None:
-                for p in paths:
-                    try:
-                        drop_path(spark, p)
-                    except Exception:  # the application is ending: what can't be removed stays
-                        return
+            for p in paths:
+                try:
+                    target = jvm.org.apache.hadoop.fs.Path(p)
+                    target.getFileSystem(settings).delete(target, True)
+                except Exception:  # the process is ending: what can't be removed stays
+                    return
 
         atexit.register(clean)
     paths.append(path)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table in the shared folder; what is there goes when the process ends."""
+    path = f"{shared_dir(spark)}/tributary-{name}-{uuid.uuid4().hex}"
+    _drop_at_exit(spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut, survives lost executors; removed when the application ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    _drop_at_exit(spark, path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
